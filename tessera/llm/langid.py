@@ -5,9 +5,9 @@ language with the shortest code wins. At a context of the longest known order a
 distinct bytes costs -log2(n / (T + q)); an unseen byte costs the escape -log2(q / (T + q)) and goes on at the next
 shorter context, at last to a uniform byte of 8 bits. Nothing is excluded after an escape.
 
-Counts come from every training text. A gram enters the tree of a language when it makes up at least 1 /
-`max_grams` of that language's bytes (orders 0 and 1 always), so a tree has at most `max_grams` grams an order
-however large the corpus is, and that is what is broadcast. `max_languages` bounds the number of trees: more learned
+Counts come from every training text. A context is in the tree of a language, with all bytes seen after it, when it
+stands before at least 1 / `max_contexts` of that language's bytes; so a tree has at most `max_contexts` contexts an
+order however large the corpus is, and that is what is broadcast. `max_languages` bounds the number of trees: more learned
 values raise an error.
 
 Edge cases: null text, empty text or no letter -> `und`, score 0. Nothing to learn from -> every text is `und`. Ties
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import chunks_of, find, small_batches
+from tessera.llm._common import chunks_of, crc_mod, find, materialize, small_batches
 from tessera.llm.grams import GramCounter, GramMemo, gram_keys, sums_by_text
 
 ORDER = 3
@@ -81,7 +81,7 @@ def _partials(order: int):
     return count
 
 
-def train(texts: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, max_grams: int = 1 << 17, max_languages: int = 200) -> PPM:
+def train(texts: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, max_contexts: int = 1 << 16, max_languages: int = 200) -> PPM:
     """Frozen trees from all rows of `texts` that have a text and a language."""
     spark = texts.sparkSession
     small_batches(spark)
@@ -99,12 +99,11 @@ def train(texts: DataFrame, text: str = "text", lang: str = "lang", *, order: in
         "l", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("g") % (1 << (8 * (d + 1)))).alias("g")) for d in range(order + 1)])).alias("x")
     )
     grams = byorder.groupBy("x.d", "l", "x.g").agg(F.sum("n").alias("n"))
-    from tessera.llm._common import materialize
-
-    grams = materialize(grams, "ppm")
+    grams = materialize(grams.withColumn("c", F.shiftright("g", 8)), "ppm")
     totals = {r["l"]: r["n"] for r in grams.where("d = 0").groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    floors = F.create_map(*[x for l, n in totals.items() for x in (F.lit(l), F.lit(n / max_grams))])
-    kept = grams.where((F.col("d") < 2) | (F.col("n") >= floors[F.col("l")])).toArrow()
+    floors = F.create_map(*[x for l, n in totals.items() for x in (F.lit(l), F.lit(n / max_contexts))])
+    enough = grams.groupBy("d", "l", "c").agg(F.sum("n").alias("t")).where(F.col("t") >= floors[F.col("l")])
+    kept = grams.join(enough, ["d", "l", "c"], "left_semi").toArrow()
     d, l, g, n = (kept.column(c).to_numpy() for c in ("d", "l", "g", "n"))
     orders = []
     for k in range(order + 1):
@@ -154,6 +153,4 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", doc_id: str = "doc_
 
 
 def held_out(doc_id: Column, fold: int = 5) -> Column:
-    from tessera.llm._common import crc_mod
-
     return crc_mod(doc_id, fold) == 0

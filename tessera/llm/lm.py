@@ -6,9 +6,9 @@ depth `depth`. A tree's node s weighs its Krichevsky-Trofimov estimate of its ow
 children, P(s) = (KT(s) + product P(child)) / 2, so all depths are mixed. The statistics of training texts are frozen;
 a decision then costs what the mixture along its path says, and a text's code length is the sum over its bytes.
 
-Counts come from every training text. Grams of two bytes or fewer are all in the tree; a longer one is when it makes
-up at least 1 / `max_grams` of all bytes, which bounds the tree to `max_grams` grams a depth whatever the corpus. The
-contexts left out are one child together, with an estimate of its own, so no data are lost from a node.
+Counts come from every training text. A context is in the tree, with all bytes seen after it, when it stands before at
+least 1 / `max_contexts` of all bytes; so there are at most `max_contexts` contexts a depth whatever the corpus. Those
+left out are one child together, with an estimate of its own, so no data are lost from a node.
 
 The base needs the exact count of every token. Tokens with at least 1 / `max_hot` of all tokens (so at most `max_hot`)
 are broadcast; all others are joined by their hash (64 bits, XXH64) with the whole vocabulary.
@@ -191,7 +191,7 @@ class Model:
     types: int
 
 
-def train(texts: DataFrame, text: str = "text", *, depth: int = DEPTH, max_grams: int = 1 << 20, max_hot: int = 1 << 22) -> Model:
+def train(texts: DataFrame, text: str = "text", *, depth: int = DEPTH, max_contexts: int = 1 << 18, max_hot: int = 1 << 22) -> Model:
     """Count every token and gram of all rows, and build the bounded tree."""
     small_batches(texts.sparkSession)
     raw = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(_count(depth), "kind byte, key long, n long")
@@ -205,8 +205,9 @@ def train(texts: DataFrame, text: str = "text", *, depth: int = DEPTH, max_grams
     full = counts.where(F.col("kind") == GRAMS).select("key", "n")
     size = full.agg(F.sum("n").alias("n")).first()["n"] or 0
     suffixes = F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("g")) for d in range(depth + 1)])
-    by_depth = full.select("n", F.explode(suffixes).alias("x")).groupBy("x.d", "x.g").agg(F.sum("n").alias("n"))
-    kept = by_depth.where((F.col("d") < 2) | (F.col("n") >= size / max_grams)).toArrow()
+    by_depth = materialize(full.select("n", F.explode(suffixes).alias("x")).groupBy("x.d", "x.g").agg(F.sum("n").alias("n")).withColumn("c", F.shiftright("g", 8)), "lm-grams")
+    enough = by_depth.groupBy("d", "c").agg(F.sum("n").alias("t")).where(F.col("t") >= size / max_contexts)
+    kept = by_depth.join(enough, ["d", "c"], "left_semi").toArrow()
     d, g, n = (kept.column(c).to_numpy() for c in ("d", "g", "n"))
     grams = []
     for k in range(depth + 1):

@@ -1,19 +1,20 @@
 """Toxicity: class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihood.
 
-Words are Unicode letter and digit runs of the lowered text. For class c and word w after u
+Words are Unicode letter and digit runs of the lowered text; counts are of texts that hold an expression. For class c
+and a known word w after u
     P_c(w | u) = max(n_c(u, w) - D, 0) / n_c(u) + left_c(u) P_c(w)
     P_c(w)     = max(n_c(w) - D, 0) / n_c     + left_c    P(w)
 where `left` is the mass that discounting and left-out entries free, and P(w) is the Kneser-Ney continuation estimate (the
-number of distinct words before w over all distinct pairs), counted over both classes together. So an expression too
-rare to tell the classes apart is smoothed to the same shared backoff in both and says nothing.
+number of distinct words before w over all distinct pairs), counted over both classes together. A word in fewer than
+`min_texts` texts is unknown, an event of one probability for both classes. So an expression too rare to tell the classes
+apart is smoothed to the same shared backoff in both and says nothing.
 
-The score is a logistic function of two length-normalised log-likelihood ratios, the mean over the text's words and
-the largest mean over `window` words in a row (a few toxic words in a long text are not averaged away). Its three
-coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
+The score is a logistic function of three length-normalised log-likelihood ratios: the mean over the n words, the sum
+over the root of n, and the largest mean over `window` words in a row (a few toxic words in a long text are not averaged
+away). Its coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
 
 Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole texts); entries that make up less
-than 1 / `max_entries` of their class's words are left to the backoff, so at most that many words and as many bigrams are
-broadcast for a class.
+than 1 / `max_entries` of all counts are left to the backoff, so at most that many words and as many bigrams are broadcast.
 
 Edge cases: null and empty texts have ratios of zero and score like a text without evidence. Labels other than 0 and 1, or
 null, are not learned from. With no row of one of the classes, every score is the share of toxic rows (0 if no rows).
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import crc_mod, find, materialize, small_batches
 
 WORD = re.compile(r"[^\W_]+")
-UNI, PAIR, AFTER = 0, 1, 2
+UNI, PAIR = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +56,7 @@ class KneserNey:
 
     words: np.ndarray
     counts: np.ndarray
+    after: np.ndarray
     pairs: np.ndarray
     pair_counts: np.ndarray
     left: np.ndarray
@@ -64,7 +66,7 @@ class KneserNey:
     left_all: np.ndarray
     discount: float = 0.75
     window: int = 32
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     prior: float | None = None
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
@@ -78,36 +80,34 @@ class KneserNey:
         n = np.where(known[:, None], self.counts[w], 0) if len(self.words) else np.zeros((len(keys), 2))
         uni = np.maximum(n - self.discount, 0) / self.n_words + self.left_all * shared[:, None]
         u = np.r_[-1, w[:-1]]
-        nu = np.where((u >= 0)[:, None], self.counts[u], 0) if len(self.words) else np.zeros((len(keys), 2))
+        nu = np.where((u >= 0)[:, None], self.after[u], 0) if len(self.words) else np.zeros((len(keys), 2))
         p = find(self.pairs, pair_keys(keys))
         npair = np.where((p >= 0)[:, None], self.pair_counts[p], 0) if len(self.pairs) else np.zeros((len(keys), 2))
         left = np.where(nu > 0, self.left[u], 1.0) if len(self.words) else np.ones((len(keys), 2))
         out = np.log(np.where(nu > 0, np.maximum(npair - self.discount, 0) / np.maximum(nu, 1), 0) + left * uni)
-        return out[:, 1] - out[:, 0]
+        return np.where(known, out[:, 1] - out[:, 0], 0.0)
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def features(self, text: str | None) -> tuple[float, float, float]:
         r = self.ratios(word_keys(WORD.findall((text or "").lower())))
         if not len(r):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         sums = np.r_[0.0, np.cumsum(r)]
         k = min(self.window, len(r))
-        return float(sums[-1] / len(r)), float((sums[k:] - sums[:-k]).max() / self.window)
+        return float(sums[-1] / len(r)), float(sums[-1] / len(r) ** 0.5), float((sums[k:] - sums[:-k]).max() / self.window)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {0: [], 1: []}
 
     def rows():
-        for label, keys in held.items():
-            if not keys:
+        for label, texts in held.items():
+            if not texts:
                 continue
-            w = np.concatenate([k for k, _ in keys])
-            prev = np.concatenate([np.r_[np.uint64(0), k[:-1]] for k, _ in keys])
-            p = np.concatenate([p for _, p in keys])
-            u, n = np.unique(w, return_counts=True)
-            pu, at, pn = np.unique(p, return_index=True, return_counts=True)
-            zero = np.zeros(len(u), np.int64)
-            for kind, k, a, b, c in ((UNI, u, zero, zero, n), (PAIR, pu, prev[at].astype(np.int64), w[at].astype(np.int64), pn)):
+            w, p, u, v = (np.concatenate([t[i] for t in texts]) for i in range(4))
+            words, n = np.unique(w, return_counts=True)
+            pairs, at, pn = np.unique(p, return_index=True, return_counts=True)
+            zero = np.zeros(len(words), np.int64)
+            for kind, k, a, b, c in ((UNI, words, zero, zero, n), (PAIR, pairs, u[at].astype(np.int64), v[at].astype(np.int64), pn)):
                 for i in range(0, len(k), 1 << 16):
                     s = slice(i, i + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[s]), kind, np.int8)), pa.array(k[s].astype(np.int64)), pa.array(a[s]), pa.array(b[s]), pa.array(c[s] * (label == 0)), pa.array(c[s] * (label == 1))], ["kind", "key", "u", "w", "n0", "n1"])
@@ -118,7 +118,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             keys = word_keys(WORD.findall(text.lower()))
             if len(keys):
-                held[label].append((keys, pair_keys(keys)))
+                pairs, at = np.unique(pair_keys(keys), return_index=True)
+                held[label].append((np.unique(keys), pairs, np.r_[np.uint64(0), keys[:-1]][at], keys[at]))
                 size += len(keys)
         if size > 3_000_000:
             yield from rows()
@@ -126,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, discount: float = 0.75, window: int = 32) -> KneserNey:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 8, discount: float = 0.75, window: int = 32) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
@@ -138,10 +139,11 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     counts = materialize(raw.groupBy("kind", "key").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
     words, pairs = counts.where(F.col("kind") == UNI), counts.where(F.col("kind") == PAIR)
     n = np.array([x or 0 for x in words.agg(F.sum("n0"), F.sum("n1")).first()], float)
-    floors = np.maximum(n / max_entries, 2)
-    enough = (F.col("n0") >= float(floors[0])) | (F.col("n1") >= float(floors[1]))
+    enough = F.col("n0") + F.col("n1") >= float(max(min_texts, n.sum() / max_entries))
     cont = pairs.groupBy(F.col("w").alias("key")).agg(F.count("*").alias("cont"))
-    uni = words.where(enough).join(cont, "key", "left").select("key", "n0", "n1", F.coalesce("cont", F.lit(0)).alias("cont")).toArrow()
+    after = pairs.groupBy(F.col("u").alias("key")).agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    uni = words.where(enough).join(cont, "key", "left").join(after, "key", "left").select("key", "n0", "n1", zero("a0"), zero("a1"), zero("cont")).toArrow()
     kept = pairs.where(enough).select("key", "u", "n0", "n1").toArrow()
     n_pairs = float(pairs.count())
     key = uni.column("key").to_numpy().astype(np.uint64)
@@ -155,10 +157,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     at = find(w, kept.column("u").to_numpy().astype(np.uint64)[porder])
     if len(w):
         np.add.at(spent, at[at >= 0], np.maximum(pc - discount, 0)[at >= 0])
-    left = 1 - np.divide(spent, c, out=np.zeros_like(spent), where=c > 0)
+    n = c.sum(0)  # of known words
+    after_n = np.stack([uni.column(x).to_numpy() for x in ("a0", "a1")], 1)[order].astype(float) if len(w) else np.zeros((0, 2))
+    left = 1 - np.divide(spent, after_n, out=np.zeros_like(spent), where=after_n > 0)
     n1 = np.maximum(n, 1)
-    model = KneserNey(w, c, pk[porder], pc, left, uni.column("cont").to_numpy()[order].astype(float), n1, n_pairs, 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, window)
-    if not n.all():
+    model = KneserNey(w, c, after_n, pk[porder], pc, left, uni.column("cont").to_numpy()[order].astype(float), n1, n_pairs, 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, window)
+    if not n.all() or not tuned.limit(1).count():
         both = rows.agg(F.avg("y")).first()[0]
         model.prior = float(both or 0.0)
         return model
@@ -167,10 +171,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [shared.value.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64())], ["y", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in f], pa.float64()) for i in range(3))], ["y", "f0", "f1", "f2"])
 
-    table = tuned.select("y", "t").mapInArrow(featured, "y int, f0 double, f1 double").toArrow()
-    x = np.stack([table.column(f).to_numpy() for f in ("f0", "f1")], 1) if table.num_rows else np.zeros((0, 2))
+    table = tuned.select("y", "t").mapInArrow(featured, "y int, f0 double, f1 double, f2 double").toArrow()
+    x = np.stack([table.column(f).to_numpy() for f in ("f0", "f1", "f2")], 1) if table.num_rows else np.zeros((0, 3))
     model.weights = logistic(x, table.column("y").to_numpy().astype(float))
     return model
 
@@ -178,7 +182,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients (intercept first) of a ridge-penalised logistic regression, by Newton's method."""
     if not len(y):
-        return np.array([0.0, 1.0, 1.0])
+        return np.array([0.0, 1.0, 1.0, 1.0])
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     z = np.c_[np.ones(len(x)), x / scale]
     b = np.zeros(z.shape[1])
@@ -201,10 +205,10 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", doc_id: str = "
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 2)
+            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 3)
             s = 1 / (1 + np.exp(-np.clip(m.weights[0] + f @ m.weights[1:], -500, 500)))
             s = s if m.prior is None else np.full(len(f), m.prior)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1])], [doc_id, "score", "predicted", "mean_ratio", "window_ratio"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 2])], [doc_id, "score", "predicted", "mean_ratio", "window_ratio"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, F.col(text).cast("string").alias("_text")).mapInArrow(rows, f"`{doc_id}` {kind}, score double, predicted int, mean_ratio double, window_ratio double")
