@@ -9,8 +9,8 @@ number of distinct words before w over all distinct pairs), counted over both cl
 `min_texts` texts is unknown, an event of one probability for both classes. So an expression too rare to tell the classes
 apart is smoothed to the same shared backoff in both and says nothing.
 
-The score is a logistic function of three length-normalised log-likelihood ratios: the mean over the n words, the sum
-over the root of n, and the largest mean over `window` words in a row (a few toxic words in a long text are not averaged
+The score is a logistic function of length-normalised log-likelihood ratios: the mean over the n words, the sum over
+the root of n, and the largest mean over each of `windows` words in a row (a few toxic words in a long text are not averaged
 away). Its coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
 
 Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole texts); entries that make up less
@@ -37,6 +37,7 @@ from tessera.llm._common import crc_mod, find, materialize, small_batches
 
 WORD = re.compile(r"[^\W_]+")
 UNI, PAIR = 0, 1
+WINDOWS = (8, 64, 256)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,8 +66,8 @@ class KneserNey:
     n_pairs: float
     left_all: np.ndarray
     discount: float = 0.75
-    window: int = 32
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    windows: tuple[int, ...] = WINDOWS
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(3 + len(WINDOWS)))
     prior: float | None = None
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
@@ -87,13 +88,13 @@ class KneserNey:
         out = np.log(np.where(nu > 0, np.maximum(npair - self.discount, 0) / np.maximum(nu, 1), 0) + left * uni)
         return np.where(known, out[:, 1] - out[:, 0], 0.0)
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def features(self, text: str | None) -> list[float]:
         r = self.ratios(word_keys(WORD.findall((text or "").lower())))
         if not len(r):
-            return 0.0, 0.0, 0.0
+            return [0.0] * (2 + len(self.windows))
         sums = np.r_[0.0, np.cumsum(r)]
-        k = min(self.window, len(r))
-        return float(sums[-1] / len(r)), float(sums[-1] / len(r) ** 0.5), float((sums[k:] - sums[:-k]).max() / self.window)
+        best = [float((sums[k:] - sums[:-k]).max() / w) for w in self.windows for k in [min(w, len(r))]]
+        return [float(sums[-1] / len(r)), float(sums[-1] / len(r) ** 0.5), *best]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 8, discount: float = 0.75, window: int = 32) -> KneserNey:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 8, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
@@ -161,7 +162,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     after_n = np.stack([uni.column(x).to_numpy() for x in ("a0", "a1")], 1)[order].astype(float) if len(w) else np.zeros((0, 2))
     left = 1 - np.divide(spent, after_n, out=np.zeros_like(spent), where=after_n > 0)
     n1 = np.maximum(n, 1)
-    model = KneserNey(w, c, after_n, pk[porder], pc, left, uni.column("cont").to_numpy()[order].astype(float), n1, n_pairs, 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, window)
+    model = KneserNey(w, c, after_n, pk[porder], pc, left, uni.column("cont").to_numpy()[order].astype(float), n1, n_pairs, 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, windows)
     if not n.all() or not tuned.limit(1).count():
         both = rows.agg(F.avg("y")).first()[0]
         model.prior = float(both or 0.0)
@@ -171,10 +172,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [shared.value.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in f], pa.float64()) for i in range(3))], ["y", "f0", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64()))], ["y", "f"])
 
-    table = tuned.select("y", "t").mapInArrow(featured, "y int, f0 double, f1 double, f2 double").toArrow()
-    x = np.stack([table.column(f).to_numpy() for f in ("f0", "f1", "f2")], 1) if table.num_rows else np.zeros((0, 3))
+    table = tuned.select("y", "t").mapInArrow(featured, "y int, f array<double>").toArrow()
+    x = np.array(table.column("f").to_pylist()).reshape(-1, 2 + len(windows))
     model.weights = logistic(x, table.column("y").to_numpy().astype(float))
     return model
 
@@ -182,7 +183,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients (intercept first) of a ridge-penalised logistic regression, by Newton's method."""
     if not len(y):
-        return np.array([0.0, 1.0, 1.0, 1.0])
+        return np.r_[0.0, np.ones(x.shape[1])]
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     z = np.c_[np.ones(len(x)), x / scale]
     b = np.zeros(z.shape[1])
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", doc_id: str = "
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 3)
+            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 2 + len(m.windows))
             s = 1 / (1 + np.exp(-np.clip(m.weights[0] + f @ m.weights[1:], -500, 500)))
             s = s if m.prior is None else np.full(len(f), m.prior)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 2])], [doc_id, "score", "predicted", "mean_ratio", "window_ratio"])
