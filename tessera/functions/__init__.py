@@ -1,0 +1 @@
+"""Column functions: text, hashes, numbers, arrays and time."""

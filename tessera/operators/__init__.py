@@ -1,0 +1 @@
+"""DataFrame operators over files, chunks, graphs, vectors, indexes and runs."""

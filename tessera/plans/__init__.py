@@ -1,0 +1 @@
+"""Composed plans: the engine, derived relations, and the registered queries."""

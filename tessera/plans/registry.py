@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "chunk_linear"
+from tessera.plans import graph_queries, search_queries, text_queries  # noqa: F401  they register themselves
+from tessera.plans.derive import QUERIES, SQL
+
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

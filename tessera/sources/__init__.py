@@ -1,0 +1 @@
+"""Sources and sinks: files, Git, JSON graphs, generations, vectors, caches."""
