@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
 Each of `projections` random lines gives every vector one number; a block of vectors keeps, for each line, these numbers
-sorted. A query opens on every line a window about its own number and counts, for each vector, the lines on which it lies
+sorted, and each vector's place in that order. A query opens on every line a window about its own number and counts, for each vector, the lines on which it lies
 inside. Windows widen together by `step` (virtual rehashing: the arrays stay as they are, only the new ends are read), and a
 vector that is inside on `threshold` of the lines is verified by its exact inner product. A block is done once it has
 verified the k wanted and `verify` of its vectors, ten times k at least.
@@ -28,54 +28,66 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize
 
-PROJECTIONS, STEP, THRESHOLD, VERIFY = 192, 1.15, 0.5, 0.05
-#: A first window takes in about this share of a block to each side of the query; fewer steps, and more to verify.
-OPEN = 0.18
+PROJECTIONS, STEP, THRESHOLD, VERIFY = 144, 1.06, 0.5, 0.15
+#: Vectors of a block that tell how wide its first windows are.
+PROBES = 16
 
 
 class Index:
-    """The sorted projections of a block of vectors."""
+    """The sorted projections of a block of at most 65,536 vectors, and each vector's place in each of them."""
 
-    def __init__(self, vectors: np.ndarray, greatest: float, projections: int = PROJECTIONS, seed: int = 11) -> None:
-        self.vectors, self.greatest = vectors, greatest
-        n, dim = vectors.shape
+    def __init__(self, vectors: np.ndarray, greatest: float, projections: int = PROJECTIONS, seed: int = 11, step: float = STEP, threshold: float = THRESHOLD, verify: float = VERIFY, k: int = 21) -> None:
+        self.vectors, self.greatest, self.step = vectors, greatest, step
+        self.n, dim = vectors.shape
+        self.m = projections
         self.lines = np.random.default_rng(seed).standard_normal((projections, dim + 1))
         extra = np.sqrt(np.maximum(greatest**2 - (vectors**2).sum(1), 0))
         values = self.lines[:, :-1] @ vectors.T + np.outer(self.lines[:, -1], extra)
         order = np.argsort(values, axis=1)
-        self.ids = order.ravel()
-        sorted_values = np.take_along_axis(values, order, 1)
+        self.places = np.empty(values.shape, np.uint16)
+        np.put_along_axis(self.places, order, np.arange(self.n, dtype=np.uint16)[None, :].repeat(self.m, 0), 1)
         # one array for all lines: line j's numbers lie in (j * gap, (j + 1) * gap)
         self.low = float(values.min()) - greatest
         self.gap = 3 * (float(values.max()) - self.low + greatest) + 1
-        self.flat = (sorted_values - self.low + np.arange(projections)[:, None] * self.gap).ravel()
-        self.n, self.m = n, projections
-
-    def _read(self, *ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """ids at the places a..b of each pair of ends."""
-        return np.concatenate([self.ids[x:y] for a, b in ends for x, y in zip(a.tolist(), b.tolist()) if x < y] or [self.ids[:0]])
-
-    def search(self, query: np.ndarray, k: int, step: float = STEP, threshold: float = THRESHOLD, verify: float = VERIFY) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact products of the vectors that were verified."""
-        enough = min(self.n, max(10 * k, k + int(np.ceil(verify * self.n))))
+        self.base = np.arange(self.m) * self.n
+        self.flat = (np.take_along_axis(values, order, 1) - self.low + np.arange(self.m)[:, None] * self.gap).ravel()
+        self.need = int(np.ceil(threshold * self.m))
+        self.enough = min(self.n, max(10 * k, k + int(np.ceil(verify * self.n))))
+        # the first window: what the median of some of the block's own vectors needs
+        probes = vectors[:: max(1, self.n // PROBES)][:PROBES]
+        self.start = 1e-9 * greatest
+        self.start = float(np.median([self._widen(q, self._reach(q))[0] for q in probes]))
+
+    def _centre(self, query: np.ndarray) -> np.ndarray:
         centre = self.lines[:, :-1] @ (query * (self.greatest / np.linalg.norm(query)))
-        base = np.arange(self.m) * self.n
-        centre = np.clip(centre - self.low, -self.gap / 3, 2 * self.gap / 3) + np.arange(self.m) * self.gap
-        at = np.clip(np.searchsorted(self.flat, centre), base, base + self.n)
-        reach = max(1, int(self.n * OPEN))
-        width = float(np.median(self.flat[np.minimum(at + reach, base + self.n - 1)] - self.flat[np.maximum(at - reach, base)])) / 2
-        width = max(width, 1e-9 * self.greatest)
-        count, left, right = np.zeros(self.n, np.int64), at.copy(), at.copy()
-        need = int(np.ceil(threshold * self.m))
+        return np.clip(centre - self.low, -self.gap / 3, 2 * self.gap / 3) + np.arange(self.m) * self.gap
+
+    def _reach(self, query: np.ndarray) -> float:
+        """Half the width of a window that holds about a fifth of the block."""
+        at = np.clip(np.searchsorted(self.flat, self._centre(query)), self.base, self.base + self.n)
+        by = max(1, self.n // 10)
+        ends = self.flat[np.minimum(at + by, self.base + self.n - 1)] - self.flat[np.maximum(at - by, self.base)]
+        return max(float(np.median(ends)) / 2, 1e-9 * self.greatest)
+
+    def _widen(self, query: np.ndarray, width: float) -> tuple[float, np.ndarray]:
+        """The width at which enough vectors collide often enough, and their places in the block."""
+        centre = self._centre(query)
         while True:
-            lo = np.clip(np.searchsorted(self.flat, centre - width), base, left)
-            hi = np.clip(np.searchsorted(self.flat, centre + width, "right"), right, base + self.n)
-            count += np.bincount(self._read((lo, left), (right, hi)), minlength=self.n)
-            left, right = lo, hi
-            found = np.flatnonzero(count >= need)
-            if len(found) >= enough or ((left == base) & (right == base + self.n)).all():
-                return found, self.vectors[found] @ query
-            width *= step
+            lo = np.clip(np.searchsorted(self.flat, centre - width) - self.base, 0, self.n)
+            hi = np.clip(np.searchsorted(self.flat, centre + width, "right") - self.base, 0, self.n)
+            if self.n > 65_535 or ((lo == 0) & (hi == self.n)).all():
+                return width, np.arange(self.n)
+            inside = (self.places - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]
+            count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if self.m < 256 else np.uint16)
+            found = np.flatnonzero(count >= self.need)
+            if len(found) >= self.enough:
+                return width, found
+            width *= self.step
+
+    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and exact products of the vectors that were verified."""
+        _, found = self._widen(query, self.start)
+        return found, self.vectors[found] @ query
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -105,10 +117,12 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
             return empty
         matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         ids, names = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        index = Index(matrix(left), greatest, projections, seed)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        index = Index(matrix(left)[order], greatest, projections, seed, step, threshold, verify, k + 1)
         out_q, out_v, out_s = [], [], []
         for name, query in zip(names, matrix(right)):
-            found, score = index.search(query, k + 1, step, threshold, verify)
+            found, score = index.search(query)
             other = ids[found] != name
             found, score = ids[found][other], score[other]
             best = np.lexsort((found, -score))[: k + 1]
