@@ -27,7 +27,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are in no learned language: `und`, or coded worse than MOST_BITS a byte."""
     guesses = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
     bad = guesses.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MOST_BITS)).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights take, in one epoch."""
     taken = mixing.mix(docs, fraction=FRACTION, weights=WEIGHTS, epochs=1).select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, F.col("doc_id") == F.col("_taken"), "left_semi")
+    return docs.join(taken, docs["doc_id"] == taken["_taken"], "left_semi")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

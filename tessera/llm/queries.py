@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, langid, lm, mixing, secrets, shards, simhash, tokens, toxicity
+from tessera.llm import ann, decontam, langid, lm, mixing, oracles, secrets, shards, simhash, tokens, toxicity
 from tessera.llm._common import crc_mod, shared_dir, table
 
 #: Target weights of the mix: domains and languages by name, sources alike.
@@ -77,9 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
-MIX_SQL = """
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": oracles.DECONTAMINATE, "op8_mix": oracles.mix(0.5, WEIGHTS, 2)}

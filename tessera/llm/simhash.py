@@ -225,7 +225,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **f
     document; rows without an id cannot be named and stay."""
     found = near_duplicates(docs, text, doc_id, **fit)
     ids = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept").withColumnRenamed("doc_id", "_kept")
-    named = lambda which: docs.join(ids.where(which), docs[doc_id] == F.col("_kept"), "left_semi")
+    named = lambda which: docs.join(ids.where(which), docs[doc_id] == ids["_kept"], "left_semi")
     out = named("_n = 1")
     if ids.where("_n > 1").limit(1).count():
         out = out.unionByName(named("_n > 1").dropDuplicates([doc_id]))
