@@ -240,7 +240,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     small_batches(spark)
     keep = keep if keep is not None else ["doc_id"]
     depth = len(model.tree.levels) - 1
-    shared = spark.sparkContext.broadcast((model.tree, model.hot, np.log10(model.hot_n + 0.5)))
+    norm = math.log10(model.tokens + 0.5 * (model.types + 1))  # taken off every term, as sums of small terms are exact
+    shared = spark.sparkContext.broadcast((model.tree, model.hot, np.log10(model.hot_n + 0.5) - norm))
     types = docs.select(*keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types)
 
@@ -276,10 +277,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         own.select("_row", F.explode("rare").alias("key"))
         .join(vocabulary, "key")
         .groupBy("_row")
-        .agg(F.count("*").alias("found"), F.sum(F.log10(F.col("n") + 0.5)).alias("found_sum"))
+        .agg(F.count("*").alias("found"), F.sum(F.log10(F.col("n") + 0.5) - norm).alias("found_sum"))
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = F.col("hot_sum") + F.coalesce(F.col("found_sum"), F.lit(0.0)) + (F.size("rare") - zero("found")) * math.log10(0.5) - F.col("n_tokens") * math.log10(model.tokens + 0.5 * (model.types + 1))
+    base = F.col("hot_sum") + F.coalesce(F.col("found_sum"), F.lit(0.0)) + (F.size("rare") - zero("found")) * (math.log10(0.5) - norm)
     return own.join(found, "_row", "left").select(
         *keep,
         "n_tokens",
