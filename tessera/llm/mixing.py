@@ -6,9 +6,10 @@ its siblings, in proportion, until they are full (the exact level is solved, not
 all leaves below it, a shortage is made up by siblings first and goes to an ancestor's siblings only if they are full.
 
 Every leaf then takes a prefix of seeded epochs: in each epoch its documents stand in the order of md5(seed:epoch:doc_id),
-and documents are taken while the running sum of tokens stays within the leaf's budget. The order is cut into 4096 buckets
-by the hash's first digits, with sums of each; all buckets before the boundary are taken whole, and only the rows of the
-one boundary bucket of a leaf are ordered. So a leaf with a third of all rows isn't sorted in one task.
+and documents are taken while the running sum of tokens stays within the leaf's budget. The order is cut into 256 buckets by
+the hash's first two digits, with sums of each, and the boundary bucket into 256 again by the next two; all buckets before
+the boundary are taken whole, and only the rows of the one innermost boundary bucket of a leaf, a 65,536th of an epoch, are
+ordered. So a leaf with a third of all rows isn't sorted in one task.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+`. Edge cases: null or empty texts have no tokens, and come along as the prefix passes
 them; null lang or source is a child of its own, named empty; a missing weight is 1 and a weight of 0 or less takes no
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import materialize
 
 LEVELS = ("domain", "lang", "source")
-DIGITS = 3
+DIGITS = 2
 
 
 def domain_of(source: Column, domains: int = 4) -> Column:
@@ -88,8 +89,15 @@ def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float = 0.5,
     joined = rows.join(limits.select(*LEVELS, "budget", "cut"), list(LEVELS))
     here, there = F.struct("epoch", "bucket"), F.struct(F.col("cut.epoch").alias("epoch"), F.col("cut.bucket").alias("bucket"))
     whole = joined.where(F.col("cut").isNull() | (here < there))
-    edge = joined.where(here == there)
+    # the boundary bucket is cut in the same way by the next digits
+    edge = joined.where(here == there).withColumn("inner", F.substring("h", DIGITS + 1, DIGITS))
+    parts = edge.groupBy(*LEVELS, "inner").agg(F.sum("n_tokens").alias("n"), F.first("budget").alias("budget"), F.first("cut.before").alias("before"))
+    parts = parts.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*LEVELS).orderBy("inner")))
+    last = parts.where("upto > budget").groupBy(*LEVELS).agg(F.min(F.struct("inner", (F.col("upto") - F.col("n")).alias("before"))).alias("last"))
+    edge = edge.join(last, list(LEVELS))
+    whole = whole.drop("cut").unionByName(edge.where(F.col("inner") < F.col("last.inner")).drop("cut", "inner", "last"))
+    edge = edge.where(F.col("inner") == F.col("last.inner"))
     order = W.partitionBy(*LEVELS).orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.sum("n_tokens").over(order) + F.col("cut.before")).where("upto <= budget")
+    edge = edge.withColumn("upto", F.sum("n_tokens").over(order) + F.col("last.before")).where("upto <= budget")
     columns = ["doc_id", F.col("epoch").cast("int").alias("epoch"), *LEVELS, "n_tokens", "budget"]
     return whole.select(*columns).unionByName(edge.select(*columns))
