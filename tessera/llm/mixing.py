@@ -27,6 +27,8 @@ from tessera.llm._common import materialize
 
 LEVELS = ("domain", "lang", "source")
 DIGITS = 2
+#: Leaves whose limits are broadcast: some tens of MB at most.
+BROADCAST_LEAVES = 100_000
 
 
 def domain_of(source: Column, domains: int = 4) -> Column:
@@ -85,8 +87,9 @@ def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float = 0.5,
     placed = buckets.withColumn("upto", F.sum("n").over(run)).join(budget.select(*LEVELS, "budget"), list(LEVELS))
     # boundary: the first bucket that does not fit whole; those after it are left
     cut = placed.where("upto > budget").groupBy(*LEVELS).agg(F.min(F.struct("epoch", "bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
-    limits = budget.join(cut, list(LEVELS), "left")
-    joined = rows.join(limits.select(*LEVELS, "budget", "cut"), list(LEVELS))
+    limits = materialize(budget.join(cut, list(LEVELS), "left").select(*LEVELS, "budget", "cut"), "mix-limits")
+    few = limits.count() <= BROADCAST_LEAVES  # so that a hot leaf's rows stay where they are; beyond it they are joined by a shuffle
+    joined = rows.join(F.broadcast(limits) if few else limits, list(LEVELS))
     here, there = F.struct("epoch", "bucket"), F.struct(F.col("cut.epoch").alias("epoch"), F.col("cut.bucket").alias("bucket"))
     whole = joined.where(F.col("cut").isNull() | (here < there))
     # the boundary bucket is cut in the same way by the next digits

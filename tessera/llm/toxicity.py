@@ -4,10 +4,11 @@ Words are Unicode letter and digit runs of the lowered text; counts are of texts
 and a known word w after u
     P_c(w | u) = max(n_c(u, w) - D, 0) / n_c(u) + left_c(u) P_c(w)
     P_c(w)     = max(n_c(w) - D, 0) / n_c     + left_c    P(w)
-where `left` is the mass that discounting and left-out entries free, and P(w) is the Kneser-Ney continuation estimate (the
-number of distinct words before w over all distinct pairs), counted over both classes together. A word in fewer than
-`min_texts` texts is unknown, an event of one probability for both classes. So an expression too rare to tell the classes
-apart is smoothed to the same shared backoff in both and says nothing.
+where n_c counts known words, `left` is the mass that discounting and left-out entries free, and P(w) is the Kneser-Ney continuation estimate (the
+number of distinct words before w over all texts' pairs, the rest being unknown words'), counted over both classes together. A word in fewer than
+`min_texts` texts, or whose counts do not set the classes apart (G^2 below `min_g2`, or rates less than `min_ratio` times one another), is unknown, an event of one
+probability for both classes; such a pair is left to its word. So an expression too rare to tell the classes apart is
+smoothed to the same shared backoff in both and says nothing.
 
 The score is a logistic function of length-normalised log-likelihood ratios: the mean over the n words, the sum over
 the root of n, and the largest mean over each of `windows` words in a row (a few toxic words in a long text are not averaged
@@ -36,19 +37,22 @@ from pyspark.sql import functions as F
 from tessera.llm._common import crc_mod, find, materialize, small_batches
 
 WORD = re.compile(r"[^\W_]+")
-UNI, PAIR = 0, 1
 WINDOWS = (8, 64, 256)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ALL = -1
 
 
 def word_keys(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def join_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (before * MIX + (keys ^ (keys >> np.uint64(29)))) * MIX
+
+
 def pair_keys(keys: np.ndarray) -> np.ndarray:
     """Of each word with the word before it; the first follows the start of text, key 0."""
-    before = np.r_[np.uint64(0), keys[:-1]] if len(keys) else keys
-    return (before * MIX + (keys ^ (keys >> np.uint64(29)))) * MIX
+    return join_keys(np.r_[np.uint64(0), keys[:-1]] if len(keys) else keys, keys)
 
 
 @dataclass
@@ -97,73 +101,112 @@ class KneserNey:
         return [float(sums[-1] / len(r)), float(sums[-1] / len(r) ** 0.5), *best]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {0: [], 1: []}
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n0, n1): texts of each class that hold a word."""
+    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
 
     def rows():
         for label, texts in held.items():
-            if not texts:
-                continue
-            w, p, u, v = (np.concatenate([t[i] for t in texts]) for i in range(4))
-            words, n = np.unique(w, return_counts=True)
-            pairs, at, pn = np.unique(p, return_index=True, return_counts=True)
-            zero = np.zeros(len(words), np.int64)
-            for kind, k, a, b, c in ((UNI, words, zero, zero, n), (PAIR, pairs, u[at].astype(np.int64), v[at].astype(np.int64), pn)):
-                for i in range(0, len(k), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[s]), kind, np.int8)), pa.array(k[s].astype(np.int64)), pa.array(a[s]), pa.array(b[s]), pa.array(c[s] * (label == 0)), pa.array(c[s] * (label == 1))], ["kind", "key", "u", "w", "n0", "n1"])
+            keys, n = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            for i in range(0, len(keys), 1 << 16):
+                k, c = keys[i : i + (1 << 16)].astype(np.int64), n[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c * (label == 0)), pa.array(c * (label == 1))], ["key", "n0", "n1"])
             held[label] = []
 
     size = 0
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys = word_keys(WORD.findall(text.lower()))
-            if len(keys):
-                pairs, at = np.unique(pair_keys(keys), return_index=True)
-                held[label].append((np.unique(keys), pairs, np.r_[np.uint64(0), keys[:-1]][at], keys[at]))
-                size += len(keys)
+            held[label].append(np.unique(word_keys(WORD.findall(text.lower()))))
+            size += len(held[label][-1])
         if size > 3_000_000:
             yield from rows()
             size = 0
     yield from rows()
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 8, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
+def _pairs(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(u, w, n0, n1): texts of each class that hold a pair which ends in a known word; u is any word, 0 at the start. A
+        row (ALL, ALL) counts all pairs."""
+        held: list[np.ndarray] = []
+        every = np.zeros(2, np.int64)
+
+        def rows():
+            got, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True) if held else (np.empty((3, 0), np.uint64), np.empty(0, np.int64))
+            y = got[2].astype(np.int64)
+            both = [np.r_[got[0].astype(np.int64), ALL], np.r_[got[1].astype(np.int64), ALL], np.r_[n * (1 - y), every[0]], np.r_[n * y, every[1]]]
+            held.clear()
+            every[:] = 0
+            for i in range(0, len(both[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in both], ["u", "w", "n0", "n1"])
+
+        size = 0
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = word_keys(WORD.findall(text.lower()))
+                every[label] += len(np.unique(pair_keys(keys)))
+                at = np.flatnonzero(find(known.value, keys) >= 0)
+                if len(at):
+                    pairs = np.unique(np.stack([np.where(at > 0, keys[at - 1], np.uint64(0)), keys[at]]), axis=1)
+                    held.append(np.concatenate([pairs, np.full((1, pairs.shape[1]), label, np.uint64)]))
+                    size += pairs.shape[1]
+            if size > 1_000_000:
+                yield from rows()
+                size = 0
+        yield from rows()
+
+    return run
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
-    total = rows.count()
-    if total > max_rows:  # the documented bound: an even share of all labelled rows, by a hash of the id
-        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    found = rows.count()
+    if found > max_rows:  # the documented bound: an even share of all labelled rows, by a hash of the id
+        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * max_rows / found))
     counted, tuned = rows.where("h % 5 <> 0"), rows.where("h % 5 = 0")
-    raw = counted.select("y", "t").mapInArrow(_count, "kind byte, key long, u long, w long, n0 long, n1 long")
-    counts = materialize(raw.groupBy("kind", "key").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
-    words, pairs = counts.where(F.col("kind") == UNI), counts.where(F.col("kind") == PAIR)
+    held = {r["y"]: r["count"] for r in counted.groupBy("y").count().collect()}
+    share = held.get(1, 0) / max(1, sum(held.values()))
+    both = F.col("n0") + F.col("n1")
+    part = lambda x, p: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (both * p))).otherwise(0.0)
+    g2 = 2 * (part("n0", 1 - share) + part("n1", share)) if 0 < share < 1 else F.lit(0.0)
+    odds = (F.col("n1") + 0.5) / (held.get(1, 0) + 1) / ((F.col("n0") + 0.5) / (held.get(0, 0) + 1))
+    telling = (g2 >= min_g2) & (F.greatest(odds, 1 / odds) >= min_ratio)
+    total = lambda: [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    words = materialize(counted.select("y", "t").mapInArrow(_words, "key long, n0 long, n1 long").groupBy("key").agg(*total()), "toxic-words")
     n = np.array([x or 0 for x in words.agg(F.sum("n0"), F.sum("n1")).first()], float)
-    enough = F.col("n0") + F.col("n1") >= float(max(min_texts, n.sum() / max_entries))
-    cont = pairs.groupBy(F.col("w").alias("key")).agg(F.count("*").alias("cont"))
-    after = pairs.groupBy(F.col("u").alias("key")).agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    uni = words.where(enough).join(cont, "key", "left").join(after, "key", "left").select("key", "n0", "n1", zero("a0"), zero("a1"), zero("cont")).toArrow()
-    kept = pairs.where(enough).select("key", "u", "n0", "n1").toArrow()
-    n_pairs = float(pairs.count())
+    size = n.sum()
+    enough = lambda n: (both >= float(max(min_texts, n / max_entries))) & telling
+    uni = words.where(enough(size)).toArrow()
     key = uni.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(key)
     w = key[order]
-    c = np.stack([uni.column(x).to_numpy() for x in ("n0", "n1")], 1)[order].astype(float) if len(w) else np.zeros((0, 2))
-    pk = kept.column("key").to_numpy().astype(np.uint64)
+    shape = lambda t, o: np.stack([t.column(x).to_numpy() for x in ("n0", "n1")], 1)[o].astype(float) if t.num_rows else np.zeros((0, 2))
+    c = shape(uni, order)
+    pairs = materialize(counted.select("y", "t").mapInArrow(_pairs(spark.sparkContext.broadcast(w)), "u long, w long, n0 long, n1 long").groupBy("u", "w").agg(*total()), "toxic-pairs")
+    n_pairs = sum(pairs.where(F.col("u") == ALL).agg(F.coalesce(F.sum(both), F.lit(0))).first())
+    pairs = pairs.where(F.col("u") != ALL)
+    before = pairs.groupBy("w").agg(F.count("*").alias("n")).toArrow()  # a row for each known word
+    cont = np.zeros(len(w))
+    cont[find(w, before.column("w").to_numpy().astype(np.uint64))] = before.column("n").to_numpy()
+    names = words.where(enough(size)).select(F.col("key").alias("u"))
+    after = pairs.join(names, "u", "left_semi")
+    follow = after.groupBy("u").agg(*total()).toArrow()
+    after_n = np.zeros((len(w), 2))
+    at = find(w, follow.column("u").to_numpy().astype(np.uint64))
+    after_n[at] = shape(follow, slice(None))
+    kept = after.where(enough(size)).toArrow()
+    u, v = (kept.column(x).to_numpy().astype(np.uint64) for x in ("u", "w"))
+    pk = join_keys(u, v)
     porder = np.argsort(pk)
-    pc = np.stack([kept.column(x).to_numpy() for x in ("n0", "n1")], 1)[porder].astype(float) if len(pk) else np.zeros((0, 2))
-    spent = np.zeros_like(c)
-    at = find(w, kept.column("u").to_numpy().astype(np.uint64)[porder])
-    if len(w):
-        np.add.at(spent, at[at >= 0], np.maximum(pc - discount, 0)[at >= 0])
-    n = c.sum(0)  # of known words
-    after_n = np.stack([uni.column(x).to_numpy() for x in ("a0", "a1")], 1)[order].astype(float) if len(w) else np.zeros((0, 2))
+    pc = shape(kept, porder)
+    spent = np.zeros_like(after_n)
+    np.add.at(spent, find(w, u[porder]), np.maximum(pc - discount, 0))
     left = 1 - np.divide(spent, after_n, out=np.zeros_like(spent), where=after_n > 0)
-    n1 = np.maximum(n, 1)
-    model = KneserNey(w, c, after_n, pk[porder], pc, left, uni.column("cont").to_numpy()[order].astype(float), n1, n_pairs, 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, windows)
-    if not n.all() or not tuned.limit(1).count():
+    n1 = np.maximum(c.sum(0), 1)
+    model = KneserNey(w, c, after_n, pk[porder], pc, left, cont, n1, float(n_pairs), 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, windows)
+    if len(held) < 2 or not tuned.limit(1).count():
         both = rows.agg(F.avg("y")).first()[0]
         model.prior = float(both or 0.0)
         return model

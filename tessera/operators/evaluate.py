@@ -81,7 +81,7 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
-def wilcoxon_p(a: list[float], b: list[float]) -> float | None:
+def wilcoxon_p(a: list, b: list):
     """Two-sided p of the signed-rank test by the normal approximation with ties; none for under five pairs or no differences."""
     d = [x - y for x, y in zip(a, b) if x != y]
     if len(a) < LEAST or not d:

@@ -20,8 +20,8 @@ REASONS = ("NOTE:", "IMPORTANT:", "HACK:", "WHY:", "RATIONALE:", "TODO:", "FIXME
 
 
 def slug(*parts: str) -> str:
-    joined = "_".join(p.strip("_.") for p in parts if p.strip("_."))
-    return re.sub(r"[^a-zA-Z0-9]+", "_", joined).strip("_").lower()
+    words = (re.findall("[0-9A-Za-z]+", p) for p in parts)
+    return "_".join(w for some in words for w in some).lower()
 
 
 class Rows:
@@ -194,7 +194,8 @@ def extract(files: DataFrame, parsers: dict | None = None) -> DataFrame:
         for b in batches:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parse = table.get("." + path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
+                ending = re.search(r"[.][^./]+$", path or "")
+                parse = table.get(ending[0].lower()) if ending else None
                 got = parse(path, text or "") if parse else []
                 rows += [{**r, "seq": i} for i, r in enumerate(got)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)

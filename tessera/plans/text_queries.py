@@ -35,7 +35,7 @@ def classify_files(t: Tables) -> DataFrame:
     return t.files.select("path", T.file_kind(p).alias("kind"), T.category(p).alias("category"), T.top_folder(p).alias("folder"))
 
 
-@query("SELECT url, regexp_matches(parse_filename(url), '(?i)(credential|secret|passwd|password|token|private_key)') OR regexp_matches(parse_filename(url), '[.](pem|key|p12|pfx|cert|crt|der|p8)$') AS sensitive FROM {pages}")
+@query("SELECT url, regexp_matches(parse_filename(url), '(?i)(credential|secret|passwd|password|token|private_key)') OR regexp_matches(parse_filename(url), '[.](cert|crt|der|key|p12|p8|pem|pfx)$') AS sensitive FROM {pages}")
 def sensitive_files(t: Tables) -> DataFrame:
     return t.pages.select("url", T.sensitive(F.col("url")).alias("sensitive"))
 

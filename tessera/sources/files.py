@@ -74,13 +74,11 @@ def checkout(url: str, target: str, branch: str | None = None) -> str:
 
 
 def remote_head(target: str) -> str:
-    try:
-        return git(target, "symbolic-ref", "--short", "refs/remotes/origin/HEAD").strip()
-    except RuntimeError:
-        refs = git(target, "for-each-ref", "--format=%(refname:short)", "refs/remotes/origin").split()
-        if not refs:
-            raise
-        return refs[0]
+    refs = git(target, "for-each-ref", "--format=%(symref:short) %(refname:short)", "refs/remotes/origin").splitlines()
+    named = sorted((x.split(" ") for x in refs), key=lambda x: x[0] == "")  # the remote's own choice first
+    if not named:
+        raise RuntimeError("the remote has no branch")
+    return named[0][0] or named[0][1]
 
 
 def changes(spark: SparkSession, target: str, old: str, new: str) -> DataFrame:

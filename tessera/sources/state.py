@@ -44,7 +44,7 @@ class ResultCache:
     clock: Callable[[], float] = time.monotonic
     held: dict[str, tuple[float, str, list[dict]]] = field(default_factory=dict)
 
-    def get(self, query: str, repos: list[str] | None, top_k: int, search: Callable[[], DataFrame]) -> list[dict]:
+    def get(self, query: str, repos, top_k: int, search: Callable[[], DataFrame]) -> list[dict]:
         now, token = self.clock(), self.token()
         key = V.cache_key(query, repos, top_k, token)
         if key in self.held and now - self.held[key][0] < self.ttl:

@@ -93,7 +93,8 @@ def duck_mix(rows, *how):
 
 
 @pytest.mark.parametrize(("fraction", "epochs"), [(0.5, 2), (0.3, 1), (1.7, 2), (5.0, 3)])
-def test_mix_against_sql(spark, fraction, epochs):
+def test_mix_against_sql(spark, monkeypatch, fraction, epochs):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 100_000 if epochs < 3 else 0)
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(0, 40)), ["en", "de", None][i % 3], f"src{0 if i % 3 == 0 else i % 11}") for i in range(400)]
     d = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, lang string, source string, domain string, budget int")
