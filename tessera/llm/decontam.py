@@ -8,8 +8,9 @@ an item if some `window` item words in a row (all of a shorter item) agree with
 
 11011 finds a run of five words even if every third word is replaced, and 1101001 other patterns of replacement.
 
-The benchmark is taken in blocks of at most `block` words, each broadcast; the documents are read once for a block. So
-what is broadcast is bounded whatever the benchmark's size, and no pair is lost. No document row is shuffled.
+The benchmark is taken in blocks of about `block` words. A block's seeds (a row of item, place and hash for each word and mask) and its
+words are broadcast apart, some tens of MB; the documents are read once for a block. So what is broadcast is bounded whatever
+the benchmark's size, and no pair is lost. No document row is shuffled, only the alignments that were hit.
 
 Edge cases: null or empty texts, and items of fewer than `least` words, are never contaminated nor contaminate. Rows
 that repeat a doc_id or item_id are one document or item in the result. Overlaps that tie are reported by the least start.
@@ -56,7 +57,7 @@ def blocks(items: DataFrame, block: int) -> Iterator[DataFrame]:
         yield items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", *, masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.69, least: int = 5, block: int = 2_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", *, masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.69, least: int = 5, block: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start, matched, compared) for each document and item that overlap: where on the document's
     words the best window begins, how many of its words agree, and of how many."""
     items = (
@@ -66,11 +67,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     hashed = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("dh"))
     out = None
     for part in blocks(items, block):
-        hits = seeded(hashed, "dh", masks).join(F.broadcast(seeded(part, "ih", masks).withColumnRenamed("pos", "ipos")), "seed")
-        # what the item's words are against, from the document's word `from` on; places outside the document are null
+        found = seeded(part, "ih", masks).select("seed", F.col("item_id").alias("_item"), F.col("pos").alias("ipos"))
+        met = seeded(hashed, "dh", masks).join(F.broadcast(found), "seed")
+        hits = met.join(F.broadcast(part), met["_item"].eqNullSafe(part["item_id"]))
+        # the item's words against the document's on the hit's alignment; places outside the document do not agree
         diagonal = F.col("pos") - F.col("ipos")
-        aligned = F.transform(F.col("ih"), lambda h, j: F.coalesce((F.get(F.col("dh"), j + diagonal) == h).cast("int"), F.lit(0)))
-        flags = hits.select("doc_id", "item_id", diagonal.alias("diag"), aligned.alias("same")).dropDuplicates(["doc_id", "item_id", "diag"])
+        aligned = F.transform(F.col("ih"), lambda h, j: F.coalesce((F.get(F.col("dh"), j + diagonal) == h).cast("tinyint"), F.lit(0).cast("tinyint")))
+        flags = hits.select("doc_id", "item_id", diagonal.alias("diag"), aligned.alias("same")).distinct()
         length = F.least(F.size("same"), F.lit(window))
         runs = F.transform(
             F.sequence(F.lit(0), F.size("same") - length),
