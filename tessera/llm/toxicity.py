@@ -38,6 +38,8 @@ from tessera.llm._common import crc_mod, find, materialize, small_batches
 
 WORD = re.compile(r"[^\W_]+")
 WINDOWS = (8, 64, 256)
+#: Labelled rows that are learned from, about, at most.
+MAX_ROWS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ALL = -1
 
@@ -158,7 +160,7 @@ def _pairs(known):
     return run
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = 200_000, max_entries: int = 1 << 18, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = MAX_ROWS, max_entries: int = 1 << 18, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
@@ -258,6 +260,13 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", doc_id: str = "
     return docs.select(doc_id, F.col(text).cast("string").alias("_text")).mapInArrow(rows, f"`{doc_id}` {kind}, score double, predicted int, mean_ratio double, window_ratio double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """Documents with their label, outside the held-out third."""
-    return docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Documents with their label, outside the held-out third; of more than `max_rows` labels an even share, by a hash of the id.
+
+    So the labels that are left have a bound, and are broadcast: no text is shuffled. A label given twice counts once.
+    """
+    known = labels.where((crc_mod("doc_id", 3) != 1) & F.col(label).cast("int").isin(0, 1)).select("doc_id", label)
+    found = known.count()
+    if found > max_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / found))
+    return docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(F.broadcast(known.distinct()), "doc_id")
