@@ -27,26 +27,24 @@ MASKS = ("11011", "1101001")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str, mask: str) -> Column:
-    """Hash of each window under the mask, by the window's place from 1; the mask itself is hashed too."""
-    ones = [i for i, c in enumerate(mask) if c == "1"]
-    n = F.size(hashes) - len(mask) + 1
-    at = lambda i, k: F.get(F.col(hashes), i + (k - 1))
-    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(mask), *(at(i, k) for k in ones)))
-    return F.when(n >= 1, made).otherwise(F.array().cast("array<bigint>"))
+def seed(hashes: str, mask: str) -> Column:
+    """Hash of the window at `pos` under the mask, which is hashed too; null where the window does not fit."""
+    ones = [F.get(F.col(hashes), F.col("pos") + i) for i, c in enumerate(mask) if c == "1"]
+    return F.when(F.col("pos") + len(mask) <= F.size(hashes), F.xxhash64(F.lit(mask), *ones))
 
 
 def seeded(table: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
-    """Rows of the table by window, with its place `pos` (from 0) and `seed`."""
-    every = F.concat(*[F.transform(seeds(hashes, m), lambda s, i: F.struct(i.alias("pos"), s.alias("seed"))) for m in masks])
-    return table.withColumn("_s", F.explode(every)).withColumns({"pos": F.col("_s.pos"), "seed": F.col("_s.seed")}).drop("_s")
+    """Rows of the table by window, with its place `pos` (from 0) and `seed`. Places come first and hashes after them, so
+    that hashing is compiled code and not a lambda; the outer form keeps Spark from splitting each text again in a filter."""
+    placed = table.select("*", F.posexplode_outer(hashes).alias("pos", "_word")).drop("_word")
+    return placed.select("*", F.explode(F.array(*[seed(hashes, m) for m in masks])).alias("seed")).where("seed IS NOT NULL")
 
 
 def blocks(items: DataFrame, block: int) -> Iterator[DataFrame]:
@@ -73,7 +71,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
         # the item's words against the document's on the hit's alignment; places outside the document do not agree
         diagonal = F.col("pos") - F.col("ipos")
         aligned = F.transform(F.col("ih"), lambda h, j: F.coalesce((F.get(F.col("dh"), j + diagonal) == h).cast("tinyint"), F.lit(0).cast("tinyint")))
-        flags = hits.select("doc_id", "item_id", diagonal.alias("diag"), aligned.alias("same")).distinct()
+        # once for each alignment and not for each hit; as an aggregate's result, so that Spark verifies after this and not before
+        once = hits.select("doc_id", "item_id", diagonal.alias("diag"), aligned.alias("flags")).groupBy("doc_id", "item_id", "diag", "flags")
+        flags = once.agg(F.max("flags").alias("same")).select("doc_id", "item_id", "diag", "same")
         length = F.least(F.size("same"), F.lit(window))
         runs = F.transform(
             F.sequence(F.lit(0), F.size("same") - length),
