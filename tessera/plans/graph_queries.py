@@ -147,19 +147,19 @@ def bfs_levels(t: Tables) -> DataFrame:
     return traverse.bfs(t.simple, t.nodes.where("id = 'r_0'").select("id"), 2).select("id", *big("level"))
 
 
-def weighed(t: Tables) -> DataFrame:
-    return t.simple.withColumn("w", traverse.edge_weight(traverse.WEIGHTS)).withColumn("seq", F.xxhash64("lo", "hi"))
+def weighed(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("w", traverse.edge_weight(traverse.WEIGHTS)).withColumn("seq", F.xxhash64("lo", "hi"))
 
 
 @query(f"WITH e AS (SELECT source AS a, target AS b, {WEIGHT} AS w FROM ({SIMPLE}) s UNION ALL SELECT target, source, {WEIGHT} FROM ({SIMPLE}) s), h1 AS (SELECT b AS id, w FROM e WHERE a = 's_1'), h2 AS (SELECT e.b AS id, h1.w + e.w AS w FROM h1 JOIN e ON e.a = h1.id WHERE e.b <> 's_1'), best AS (SELECT id, max(w) AS weight FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) x WHERE id <> 's_1' GROUP BY 1) SELECT round(weight, 6) AS weight FROM best ORDER BY best.weight DESC LIMIT 50")
 def expand_bounded(t: Tables) -> DataFrame:
-    return traverse.expand_bounded(weighed(t), t.nodes.where("id = 's_1'").select("id")).select(r6("weight"))
+    return traverse.expand_bounded(weighed(t.simple), t.nodes.where("id = 's_1'").select("id")).select(r6("weight"))
 
 
 @query()
 def expand_greedy(t: Tables) -> DataFrame:
     seeds = t.nodes.where("id IN ('s_1', 's_2', 'n_3')").select(F.when(F.col("id") == "n_3", 1).otherwise(0).alias("query_id"), "id", F.lit(0).alias("rank"))
-    return traverse.expand_greedy(weighed(t), t.nodes, seeds)
+    return traverse.expand_greedy(weighed(t.whole_simple), t.nodes, seeds)
 
 
 @query(f"SELECT o_orderkey, CAST(count(*) AS BIGINT) AS members FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey GROUP BY 1")
@@ -191,7 +191,7 @@ def label_propagation(t: Tables) -> DataFrame:
 
 @query()
 def graph_questions(t: Tables) -> DataFrame:
-    return analyze.questions(t.nodes, t.simple)
+    return analyze.questions(t.nodes, t.whole_simple)
 
 
 @query()
