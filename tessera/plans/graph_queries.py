@@ -169,24 +169,19 @@ def hyperedge_members(t: Tables) -> DataFrame:
     return graph.hyperedge_members(h).groupBy(F.col("id").alias("o_orderkey")).agg(F.count("*").alias("members"))
 
 
-def small(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations and suppliers: a graph for the operators that take one graph into one task."""
-    return t.nodes.where("id RLIKE '^[rns]_'"), t.simple.where("source RLIKE '^[rns]_' AND target RLIKE '^[rns]_'")
-
-
 @query()
 def louvain(t: Tables) -> DataFrame:
-    return community.louvain(*small(t))
+    return community.louvain(t.nodes, t.whole_simple)
 
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return community.betweenness(*small(t))
+    return community.betweenness(t.nodes, t.whole_simple)
 
 
 @query()
 def label_propagation(t: Tables) -> DataFrame:
-    return community.label_propagation(*small(t), rounds=2)
+    return community.label_propagation(t.nodes, t.whole_simple)
 
 
 @query()

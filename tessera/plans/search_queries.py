@@ -115,8 +115,8 @@ def vector_merge(t: Tables) -> DataFrame:
 
 @query()
 def overlap_dedup(t: Tables) -> DataFrame:
-    e = t.embeddings.where("vec_id < 200")
-    hits = e.select(F.lit(0).alias("query_id"), F.concat(F.lit("f"), F.col("label")).alias("file"), F.col("vec_id").cast("int").alias("ordinal"), (F.col("vec_id") * 3 % 50).cast("int").alias("start_line"), (F.col("vec_id") * 3 % 50 + 4).cast("int").alias("end_line"), (F.col("vec_id") % 7 / 7).alias("relevance"))
+    """Every vector is a hit; each two hundred in a row are those of one query."""
+    hits = t.embeddings.select(F.floor(F.col("vec_id") / 200).cast("int").alias("query_id"), F.concat(F.lit("f"), F.col("label")).alias("file"), F.col("vec_id").cast("int").alias("ordinal"), (F.col("vec_id") * 3 % 50).cast("int").alias("start_line"), (F.col("vec_id") * 3 % 50 + 4).cast("int").alias("end_line"), (F.col("vec_id") % 7 / 7).alias("relevance"))
     return retrieval.drop_overlaps(hits)
 
 

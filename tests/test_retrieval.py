@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import values as V
 from tessera.operators import retrieval as R
+from tessera.plans import registry
 
 
 def plain_bm25(docs, query):
@@ -78,3 +79,11 @@ def test_cosine_zero_and_unequal(spark):
 def test_identical_text_has_two_identities(spark):
     r = spark.createDataFrame([("a.py",), ("b.py",)], "p string").select(V.vector_id(F.col("p"), F.lit(1), F.lit(2), F.lit("h")).alias("v")).distinct()
     assert r.count() == 2
+
+
+def test_overlap_query_takes_every_vector(spark):
+    """Hits of each two hundred vectors: none of a query removes one of another, and each query keeps some."""
+    folder = "/root/testdata/sf0.01"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    got = registry.queries()["overlap_dedup"](spark, folder).collect()
+    assert {r["query_id"] for r in got} == {i // 200 for i in ids} and len(got) > 200 // 5
