@@ -15,7 +15,7 @@ smallest ids, which is exact: no more of them can be in a result. Queries and ve
 
 Edge cases: vectors null, zero, or with a null or non-finite component take no part, nor do those of another length than
 most have (of lengths as common, the smallest); a null id takes no part. Rows that repeat a vec_id are candidates of one
-id, and the better is listed. Ties go to the smaller vec_id. An empty table gives an empty result.
+id, and the better is listed; the caps of k + 1 count ids. Ties go to the smaller vec_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
     greatest = float(np.sqrt(stats["m"] or 1.0)) * (1 + 1e-12)
     place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    some = rows.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).drop("_r")
+    some = rows.distinct().withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).drop("_r")
     data = some.withColumn("b", place(1, blocks)).withColumn("q", each(parts))
     asked = rows.where(queries).distinct().withColumn("q", place(2, parts)).withColumn("b", each(blocks))
     empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -125,7 +125,9 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
             found, score = index.search(query)
             other = ids[found] != name
             found, score = ids[found][other], score[other]
-            best = np.lexsort((found, -score))[: k + 1]
+            best = np.lexsort((found, -score))
+            # ids in order of their best rows: the cap is on ids, as rows may repeat one
+            best = best[np.sort(np.unique(found[best], return_index=True)[1])][: k + 1]
             out_q.append(np.full(len(best), name))
             out_v.append(found[best])
             out_s.append(score[best])

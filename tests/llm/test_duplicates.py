@@ -170,3 +170,17 @@ def test_neighbours_of_equal_vectors_other_norms_and_odd_rows(spark):
     few = ann.nearest(e.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 20 == 0)
     assert [(r["rank"], r["vec_id"]) for r in few.orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.nearest(e.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_neighbours_of_a_table_that_repeats_its_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(100)]
+    rows += [(i, [1.0] * 8) for i in range(100, 130)] + [(100, [1.0] * 8)] * 40  # one id hides none of the same vector
+    rows += [(7, (rng.standard_normal(8) / 9).tolist()) for _ in range(30)]  # an id with many vectors
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    listed = lambda d: sorted(map(tuple, ann.nearest(d, F.col("vec_id") == 0, verify=1.0).collect()))
+    once, twice = listed(e), listed(e.union(e).union(e))
+    assert len(once) == 20 and len({r[2] for r in once}) == 20
+    assert [r[1:3] for r in twice] == [r[1:3] for r in once]
+    same = listed(spark.createDataFrame([(0, [1.0] * 8)], "vec_id long, embedding array<double>").union(e.where("vec_id >= 100")))
+    assert [r[2] for r in same] == list(range(100, 120))
