@@ -14,8 +14,8 @@ The score is a logistic function of length-normalised log-likelihood ratios: the
 the root of n, and the largest mean over each of `windows` words in a row (a few toxic words in a long text are not averaged
 away). Its coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
 
-Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole texts); entries that make up less
-than 1 / `max_entries` of all counts are left to the backoff, so at most that many words and as many bigrams are broadcast.
+Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole texts). Which entries are
+kept depends on their own counts alone and not on how many there are, so what is broadcast grows with those rows and no further.
 
 Edge cases: null and empty texts have ratios of zero and score like a text without evidence. Labels other than 0 and 1, or
 null, are not learned from. With no row of one of the classes, every score is the share of toxic rows (0 if no rows).
@@ -160,7 +160,7 @@ def _pairs(known):
     return run
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = MAX_ROWS, max_entries: int = 1 << 18, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = MAX_ROWS, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
@@ -177,10 +177,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     telling = (g2 >= min_g2) & (F.greatest(odds, 1 / odds) >= min_ratio)
     total = lambda: [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     words = materialize(counted.select("y", "t").mapInArrow(_words, "key long, n0 long, n1 long").groupBy("key").agg(*total()), "toxic-words")
-    n = np.array([x or 0 for x in words.agg(F.sum("n0"), F.sum("n1")).first()], float)
-    size = n.sum()
-    enough = lambda n: (both >= float(max(min_texts, n / max_entries))) & telling
-    uni = words.where(enough(size)).toArrow()
+    enough = (both >= float(min_texts)) & telling
+    uni = words.where(enough).toArrow()
     key = uni.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(key)
     w = key[order]
@@ -192,13 +190,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     before = pairs.groupBy("w").agg(F.count("*").alias("n")).toArrow()  # a row for each known word
     cont = np.zeros(len(w))
     cont[find(w, before.column("w").to_numpy().astype(np.uint64))] = before.column("n").to_numpy()
-    names = words.where(enough(size)).select(F.col("key").alias("u"))
+    names = words.where(enough).select(F.col("key").alias("u"))
     after = pairs.join(names, "u", "left_semi")
     follow = after.groupBy("u").agg(*total()).toArrow()
     after_n = np.zeros((len(w), 2))
     at = find(w, follow.column("u").to_numpy().astype(np.uint64))
     after_n[at] = shape(follow, slice(None))
-    kept = after.where(enough(size)).toArrow()
+    kept = after.where(enough).toArrow()
     u, v = (kept.column(x).to_numpy().astype(np.uint64) for x in ("u", "w"))
     pk = join_keys(u, v)
     porder = np.argsort(pk)

@@ -221,3 +221,14 @@ def test_toxicity_of_odd_rows_and_one_class(spark):
     assert {r["score"] for r in toxicity.score(d, none).collect()} == {0.0} and toxicity.score(d.limit(0), none).count() == 0
     odd = one.withColumn("toxic", F.when(F.col("doc_id") == 5, 7).when(F.col("doc_id") == 6, None).otherwise(F.col("doc_id") % 2))
     assert toxicity.score(d, toxicity.train(odd)).count() == len(ODD)
+
+
+def test_toxic_words_are_kept_however_many_counts_there_are(spark):
+    """A word of 12 toxic texts and no other tells them apart, beside over four million counts of other words too."""
+    counted = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5]
+    rude = [i for i in counted if i % 2][:12]
+    filler = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3499)), lambda k: F.concat(F.lit("w"), k.cast("string"))), " ")
+    d = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(filler, F.when(F.col("id").isin(rude), " clod").otherwise("")).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    m = toxicity.train(d)
+    assert m.words.tolist() == toxicity.word_keys(["clod"]).tolist() and m.counts.tolist() == [[0.0, 12.0]]
+    assert m.pair_counts.tolist() == []  # no known word comes before it
