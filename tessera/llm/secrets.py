@@ -3,7 +3,8 @@
 The base finds three kinds, leftmost and non-overlapping for each: assignments, access keys and long hex strings. The
 method adds the kind `markov`: runs of 20 or more of `[A-Za-z0-9+/_=-]` with both a letter and a digit, whose mean
 log-likelihood ratio a character under a model of random strings against one of ordinary identifiers is at least
-`threshold`, and which overlap no base span. Both models are first-order Markov chains over characters with one count
+`threshold`, over the run or over any 20 characters of it with both (so that a name or path before a value does not
+average it away), and which overlap no base span. Both models are first-order Markov chains over characters with one count
 added to each transition, trained from labelled samples (text, label: 1 random, 0 ordinary). `labelled_samples` makes some:
 digests in the alphabets that keys use against identifiers, paths, numbers and words put together from common parts.
 
@@ -27,6 +28,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", None),
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
 PARTS = "get set user name id file path load save data list item count index value config parse read write open close start stop http https www com org html json test main page view model node edge table row column key token hash code line text word size time date year month day last first next prev left right top order total price image photo video audio content static assets public private class function return import export default module package version release build debug error warning info".split()
 
 
@@ -82,22 +84,33 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log((counts[1][i] + 1) / (totals[1][i // 128] + 64)) - math.log((counts[0][i] + 1) / (totals[0][i // 128] + 64)) for i in range(16384)]
 
 
-def ratio(text: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of the text's transitions."""
+def mixed(text: Column) -> Column:
+    return text.rlike("[0-9]") & text.rlike("[A-Za-z]")
+
+
+def random_like(text: Column, model: list[float], threshold: float) -> Column:
+    """Whether the mean log-likelihood ratio of the text's transitions, or of those of any WINDOW characters, is high enough."""
     table = F.from_json(F.lit(json.dumps([round(x, 4) for x in model])), "array<double>")
-    step = lambda i: F.ascii(F.substr(text, i, F.lit(1))) * 128 + F.ascii(F.substr(text, i + 1, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.lit(0.0), lambda a, i: a + F.element_at(table, step(i) + 1))
-    return total / (F.length(text) - 1)
+    step = lambda i: F.element_at(table, F.ascii(F.substr(text, i, F.lit(1))) * 128 + F.ascii(F.substr(text, i + 1, F.lit(1))) + 1)
+    n = WINDOW - 1
+
+    def add(a: Column, i: Column) -> Column:
+        moved = a["part"] + step(i) - F.when(i > n, step(i - n)).otherwise(0.0)
+        here = (i >= n) & mixed(F.substr(text, i - n + 1, F.lit(WINDOW))) & (moved >= n * threshold)
+        return F.struct((a["whole"] + step(i)).alias("whole"), moved.alias("part"), (a["found"] | here).alias("found"))
+
+    start = F.struct(F.lit(0.0).alias("whole"), F.lit(0.0).alias("part"), F.lit(False).alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), start, add, lambda a: a["found"] | (a["whole"] / (F.length(text) - 1) >= threshold))
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(doc_id, base, added): the spans of every row, as arrays of structs in order of start, then kind."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     plain = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_t"))
-    found = plain.select("doc_id", *[spans(F.col("_t"), *k).alias(k[0]) for k in KINDS], spans(F.col("_t"), "markov", CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")).alias("candidates"))
+    found = plain.select("doc_id", *[spans(F.col("_t"), *k).alias(k[0]) for k in KINDS], spans(F.col("_t"), "markov", CANDIDATE, mixed).alias("candidates"))
     base = found.select("doc_id", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "candidates")
     clear = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter(F.col("candidates"), lambda s: clear(s) & (ratio(s["m"], model) >= threshold))
+    added = F.filter(F.col("candidates"), lambda s: clear(s) & random_like(s["m"], model, threshold))
     return base.select("doc_id", "base", F.when(F.size("candidates") > 0, added).otherwise(F.col("candidates")).alias("added"))
 
 

@@ -43,6 +43,15 @@ def test_markov_finds_random_strings_and_leaves_ordinary_ones(spark):
     assert base and not added  # what the base has, the method leaves
 
 
+def test_secrets_behind_names_and_paths(spark):
+    values = ["9fKq3LzXw8Rv2Tn6Yb1Hs4Jd7Mp0GcQa", "tG7xQ2mZ9pL4kV8sW1nB6yR3cJ5hD0fA"]
+    before = ["", "aws_secret_access_key=", "DATABASE_CONNECTION_STRING=", "export_default_user_private_key=", "https/www/example/com/static/assets/images/"]
+    got = [a for _, a in scanned(spark, [f"see {b}{v} there" for b in before for v in values])]
+    assert got == [f"markov:4:{4 + len(b) + len(v)}" for b in before for v in values]
+    fine = ["aws_default_region_name=eu_west_1_production", "DATABASE_CONNECTION_STRING=server_2_port_5432", "https/www/example/com/static/assets/images/2024/photo_12_large"]
+    assert [a for _, a in scanned(spark, fine)] == [""] * 3
+
+
 def test_secrets_query(spark):
     got = queries.op9_secrets(spark, SF).collect()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
