@@ -1,5 +1,7 @@
 """SimHash, decontamination, neighbours: against brute force, with hot groups and odd rows."""
 
+import itertools
+import math
 import re
 
 import duckdb
@@ -184,3 +186,10 @@ def test_neighbours_of_a_table_that_repeats_its_rows(spark):
     assert [r[1:3] for r in twice] == [r[1:3] for r in once]
     same = listed(spark.createDataFrame([(0, [1.0] * 8)], "vec_id long, embedding array<double>").union(e.where("vec_id >= 100")))
     assert [r[2] for r in same] == list(range(100, 120))
+
+
+def test_masks_hit_every_pattern_that_is_accepted():
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
+    for n in range(5, 14):
+        for same in itertools.combinations(range(n), max(5, math.ceil(n * 0.69))):
+            assert any({i + o for o in m} <= set(same) for m in masks for i in range(n)), (n, same)
