@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
+
 SCHEMA = "kind string, seq long, id string, label string, file_type string, source_file string, start_line int, end_line int, source string, target string, relation string, callee string, module string, name string"
 ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in SCHEMA.split(", ")])
-REASONS = ("NOTE:", "IMPORTANT:", "HACK:", "WHY:", "RATIONALE:", "TODO:", "FIXME:")
+REASONS = tuple(C.REASON_MARKS)
 
 
 def slug(*parts: str) -> str:
@@ -183,7 +185,7 @@ def _before(places: list[int], p: int) -> int:
     return bisect.bisect_left(places, p)
 
 
-PARSERS = {".py": python_rows, ".js": script_rows, ".mjs": script_rows, ".jsx": script_rows, ".ts": script_rows, ".tsx": script_rows}
+PARSERS = {".py": python_rows, ".js": script_rows, ".mjs": script_rows, ".ejs": script_rows, ".jsx": script_rows, ".ts": script_rows, ".tsx": script_rows}
 
 
 def extract(files: DataFrame, parsers: dict | None = None) -> DataFrame:

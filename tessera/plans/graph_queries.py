@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.operators import analyze, community, extract, graph, traverse
 from tessera.plans.derive import CHUNKS, EDGES, FILES, NODES, SIMPLE, Tables, big, query, r6
 
@@ -148,7 +149,7 @@ def bfs_levels(t: Tables) -> DataFrame:
 
 
 def weighed(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("w", traverse.edge_weight(traverse.WEIGHTS)).withColumn("seq", F.xxhash64("lo", "hi"))
+    return edges.withColumn("w", traverse.edge_weight(C.RELATION_WEIGHTS)).withColumn("seq", F.xxhash64("lo", "hi"))
 
 
 @query(f"WITH e AS (SELECT source AS a, target AS b, {WEIGHT} AS w FROM ({SIMPLE}) s UNION ALL SELECT target, source, {WEIGHT} FROM ({SIMPLE}) s), h1 AS (SELECT b AS id, w FROM e WHERE a = 's_1'), h2 AS (SELECT e.b AS id, h1.w + e.w AS w FROM h1 JOIN e ON e.a = h1.id WHERE e.b <> 's_1'), best AS (SELECT id, max(w) AS weight FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) x WHERE id <> 's_1' GROUP BY 1) SELECT round(weight, 6) AS weight FROM best ORDER BY best.weight DESC LIMIT 50")

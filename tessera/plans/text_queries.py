@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.functions import text as T
 from tessera.functions import values as V
 from tessera.operators import chunking, graph, incremental
@@ -35,9 +36,13 @@ def classify_files(t: Tables) -> DataFrame:
     return t.files.select("path", T.file_kind(p).alias("kind"), T.category(p).alias("category"), T.top_folder(p).alias("folder"))
 
 
-@query("SELECT url, regexp_matches(parse_filename(url), '(?i)(credential|secret|passwd|password|token|private_key)') OR regexp_matches(parse_filename(url), '[.](cert|crt|der|key|p12|p8|pem|pfx)$') AS sensitive FROM {pages}")
+#: Names of files as they come, in capitals, and with endings of either case.
+NAMED = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN 'a/SERVER.PEM' WHEN 3 THEN 'a/ID.Key' WHEN 4 THEN '.ENV' WHEN 5 THEN 'x/id_rsa.pub' WHEN 6 THEN 'x/ID_RSA' ELSE 'x/my_Token_' || CAST(page_id AS STRING) || '.txt' END AS path FROM {pages}"""
+
+
+@query(f"SELECT page_id, path, page_id % 8 IN (2, 3, 4, 5, 7) OR contains(lower(split_part(path, '/', -1)), 'token') OR contains(lower(split_part(path, '/', -1)), 'secret') AS sensitive FROM ({NAMED}) n")
 def sensitive_files(t: Tables) -> DataFrame:
-    return t.pages.select("url", T.sensitive(F.col("url")).alias("sensitive"))
+    return t.sql(NAMED).select("page_id", "path", T.sensitive(F.col("path")).alias("sensitive"))
 
 
 @query(f"SELECT path, contains('/' || path, '/tests/') AS test FROM ({FILES}) f")
@@ -57,12 +62,16 @@ def ignored_paths(t: Tables) -> DataFrame:
     return t.files.select("path", T.ignored(F.col("path"), ["src1/*", "*.md", "tests"]).alias("ignored"))
 
 
-_PAPER = " + ".join(f"CAST(regexp_matches(h, '(?i){p}') AS BIGINT)" for p in T.PAPER)
+_PAPER = " + ".join(f"CAST(regexp_matches(h, '{p}') AS BIGINT)" for p in C.PAPER_SIGNALS)
+
 
+#: Texts with signs of papers in front of some, so that each sign is met and missed.
+SIGNED = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ArXiv 1706.03762 ' WHEN 1 THEN '[' || chr(10) || '12' || chr(10) || '] Eq. 4 et al ' WHEN 2 THEN 'DOI : x; We Propose [3] ' WHEN 3 THEN 'Abstract, journal and proceedings ' ELSE '' END || text AS text FROM {documents}"
 
-@query("SELECT doc_id, " + BRACES(_PAPER) + " AS signals FROM (SELECT doc_id, left(text, 3000) AS h FROM {documents}) d")
+
+@query("SELECT doc_id, " + BRACES(_PAPER) + f" AS signals FROM (SELECT doc_id, left(text, 3000) AS h FROM ({SIGNED}) s) d")
 def paper_signals(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.paper_signals(F.col("text")).cast("long").alias("signals"))
+    return t.sql(SIGNED).select("doc_id", T.paper_signals(F.col("text")).cast("long").alias("signals"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM {documents}")
@@ -124,14 +133,20 @@ def file_hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", V.file_hash(2, F.col("text"), F.col("source")).alias("file_hash"))
 
 
-@query("SELECT DISTINCT split_part(url, '/', 3) AS host, split_part(url, '/', 3) || '-' || split_part(url, '/', 4) IS NOT NULL AS named FROM {pages}")
+#: Addresses of repositories in each form, and pages' own addresses, which are none.
+ADDRESSED = """SELECT page_id, 'o' || CAST(page_id % 9 AS STRING) AS owner, 'r.' || CAST(page_id AS STRING) AS repo, CASE page_id % 7 WHEN 0 THEN 'https://h/' WHEN 1 THEN 'git@h:' WHEN 2 THEN 'https://h/' WHEN 3 THEN 'git@h:' WHEN 4 THEN 'https://h/' WHEN 5 THEN 'https://h/' END AS before,
+  CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '.git' WHEN 3 THEN '.git' WHEN 4 THEN '/' WHEN 5 THEN '.git/' END AS after, url FROM {pages}"""
+
+
+@query(f"SELECT page_id, CASE WHEN before IS NULL THEN replace(replace(replace(url, '/', '-'), ':', '-'), '.git', '') ELSE owner || '-' || repo END AS slug, before IS NOT NULL AS address FROM ({ADDRESSED}) a")
 def url_slugs(t: Tables) -> DataFrame:
-    return t.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), V.slug_of(F.col("url")).isNotNull().alias("named")).distinct()
+    url = F.coalesce(F.concat("before", "owner", F.lit("/"), "repo", "after"), "url")
+    return t.sql(ADDRESSED).select("page_id", V.slug_of(url).alias("slug"), V.is_address(url).alias("address"))
 
 
-@query(f"SELECT source_file, list_sort(list(id)) AS ids FROM ({NODES}) n WHERE source_file LIKE 'nation%' GROUP BY 1")
+@query(f"SELECT source_file, list_sort(list(id)) AS ids FROM ({NODES}) n GROUP BY 1")
 def semantic_cache_groups(t: Tables) -> DataFrame:
-    return incremental.by_source(t.nodes.where("source_file LIKE 'nation%'"))
+    return incremental.by_source(t.nodes)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 11 = 0 THEN 'changed' WHEN doc_id % 13 = 0 THEN 'deleted' ELSE 'unchanged' END AS state FROM {documents}")

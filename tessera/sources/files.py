@@ -13,40 +13,89 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
 from tessera.functions import text as T
 from tessera.operators.incremental import parse_changes
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, keep_text: bool = True) -> DataFrame:
+#: Answers that are put back into the index lie here; neither hidden nor made files are left out below it.
+MEMORY = "graph-out/memory/"
+
+
+def scan(spark: SparkSession, root: str, ignore: list[tuple[str, str]] | list[str] | None = None, keep_text: bool = True) -> DataFrame:
     """(path, kind, bytes, mtime, text) of the indexed files below root.
 
-    Paths are judged before contents are read: hidden, made, ignored and sensitive files never are."""
+    Paths are judged before contents are read: hidden, made, ignored and sensitive files never are. `ignore` has patterns, or
+    pairs of a pattern and the way from the folder that it was found in down to the root; such a pattern may fit either the path
+    below the root or the one below that folder."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.escape(root.rstrip("/").removeprefix("file://"))
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base + "/", "")
     rows = raw.withColumn("path", path)
     hidden = F.exists(F.split("path", "/"), lambda p: p.startswith("."))
-    fine = ~hidden & ~T.noisy(F.col("path")) & ~T.sensitive(F.col("path")) & ~T.file_name(F.col("path")).isin("package-lock.json", "yarn.lock", "poetry.lock", "Cargo.lock", "uv.lock")
-    if ignore:
-        fine = fine & ~T.ignored(F.col("path"), ignore)
+    fine = F.col("path").startswith(MEMORY) | (~hidden & ~T.noisy(F.col("path")))
+    fine = fine & ~T.sensitive(F.col("path")) & ~T.file_name(F.col("path")).isin(C.LOCK_FILES)
+    rules = [("", x) if isinstance(x, str) else x for x in ignore or []]
+    if rules:
+        fine = fine & ~T.ignored(F.col("path"), [p for _, p in rules])
+    for down in sorted({d for d, _ in rules if d}):
+        fine = fine & ~T.ignored(F.concat(F.lit(down + "/"), F.col("path")), [p for d, p in rules if d == down])
     rows = rows.where(fine).withColumn("kind", T.file_kind(F.col("path"))).where(F.col("kind").isNotNull())
     text = [F.decode("content", "UTF-8").alias("text")] if keep_text else []
     return rows.select("path", "kind", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), *text)
 
 
-def ignore_patterns(root: str, name: str = ".graphignore") -> list[str]:
-    """The patterns of the ignore files from root up to the repository's top."""
-    out, at = [], os.path.abspath(root)
+def ignore_patterns(root: str, name: str = ".graphignore") -> list[tuple[str, str]]:
+    """(way down to root, pattern) of the ignore files from root up to the repository's top; the way is empty for root's own."""
+    top = os.path.abspath(root.removeprefix("file://"))
+    out, at = [], top
     while True:
         file = os.path.join(at, name)
         if os.path.isfile(file):
-            with open(file) as f:
-                out += [x.strip() for x in f if x.strip() and not x.startswith("#")]
-        if os.path.isdir(os.path.join(at, ".git")) or os.path.dirname(at) == at:
+            down = "" if at == top else os.path.relpath(top, at).replace(os.sep, "/")
+            with open(file, errors="ignore") as f:
+                out += [(down, x) for x in map(str.strip, f) if x.strip("/") and not x.startswith("#")]
+        if os.path.exists(os.path.join(at, ".git")) or os.path.dirname(at) == at:
             return out
         at = os.path.dirname(at)
 
 
+def within(path: str, root: str) -> str:
+    """The path relative to root, with slashes; an error if it leads out of root."""
+    top = os.path.realpath(root)
+    full = os.path.realpath(path if os.path.isabs(path) else os.path.join(top, path))
+    if full != top and not full.startswith(top.rstrip(os.sep) + os.sep):
+        raise ValueError(f"{path} is outside {root}")
+    return os.path.relpath(full, top).replace(os.sep, "/")
+
+
+def resolve(url: str, folder: str, known: RepoMap, fetch: bool = True, branch: str | None = None) -> str:
+    """Where the repository of an address is: its known checkout, brought up to date, or a new clone below `folder`. Without
+    `fetch` nothing is asked of the remote, and a checkout must be there already."""
+    form = next((m for m in (re.match(C.HTTPS_ADDRESS, url), re.match(C.SSH_ADDRESS, url)) if m), None)
+    if form is None:
+        raise ValueError(f"{url} is no HTTPS or SSH address of a repository")
+    place = known.path_of(url) or os.path.join(folder, f"{form[1]}-{form[2]}")
+    if not fetch:
+        if not os.path.isdir(os.path.join(place, ".git")):
+            raise FileNotFoundError(f"no checkout of {url}")
+    else:
+        os.makedirs(os.path.dirname(place) or ".", exist_ok=True)
+        checkout(url, place, branch)
+    if known.path_of(url) != place:
+        known.register(url, place)
+    return place
+
+
+def warning(files: int, words: int) -> str | None:
+    """What is said of a tree that is small enough for a prompt, or large."""
+    if words < C.FEW_WORDS:
+        return f"{words} words fit into one prompt; a graph may not be needed"
+    if words >= C.MANY_WORDS or files >= C.MANY_FILES:
+        return f"{files} files and {words} words: consider a subfolder"
+    return None
+
+
 def statistics(files: DataFrame) -> DataFrame:
     """One row: files, code files, documents, words of documents."""
     words = F.sum(F.when(F.col("kind") == "document", T.word_count(F.col("text"))))

@@ -19,12 +19,12 @@ STAMP = "%Y%m%dT%H%M%S%fZ"
 
 def new_generation() -> str:
     """A sortable name: UTC to the microsecond, and a random end."""
-    return f"{datetime.now(timezone.utc):{STAMP}}-{secrets.token_hex(4)}"
+    return datetime.now(timezone.utc).strftime(STAMP) + "-" + secrets.token_hex(4)
 
 
 def generation_time(name: str) -> datetime | None:
     try:
-        return datetime.strptime(name.partition("-")[0] + "+0000", STAMP + "%z")
+        return datetime.strptime(name.split("-")[0], STAMP).replace(tzinfo=timezone.utc)
     except ValueError:
         return None
 
@@ -128,6 +128,6 @@ class Store:
         p, fs = self._fs(slug)
         return bool(fs.exists(p) and fs.delete(p, True))
 
-    def token(self, slugs=None) -> str:
+    def token(self, slugs: list[str] | None = None) -> str:
         """Changes whenever one of the repositories has another generation."""
         return json.dumps([[s, (self.current(s) or {}).get("generation")] for s in self.slugs(slugs)])
