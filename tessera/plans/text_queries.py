@@ -133,9 +133,9 @@ def file_hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", V.file_hash(2, F.col("text"), F.col("source")).alias("file_hash"))
 
 
-#: Addresses of repositories in each form, and pages' own addresses, which are none.
+#: Addresses of repositories in each form, and other texts.
 ADDRESSED = """SELECT page_id, 'o' || CAST(page_id % 9 AS STRING) AS owner, 'r.' || CAST(page_id AS STRING) AS repo, CASE page_id % 7 WHEN 0 THEN 'https://h/' WHEN 1 THEN 'git@h:' WHEN 2 THEN 'https://h/' WHEN 3 THEN 'git@h:' WHEN 4 THEN 'https://h/' WHEN 5 THEN 'https://h/' END AS before,
-  CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '.git' WHEN 3 THEN '.git' WHEN 4 THEN '/' WHEN 5 THEN '.git/' END AS after, url FROM {pages}"""
+  CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '.git' WHEN 3 THEN '.git' WHEN 4 THEN '/' WHEN 5 THEN '.git/' END AS after, 'page ' || url AS url FROM {pages}"""
 
 
 @query(f"SELECT page_id, CASE WHEN before IS NULL THEN replace(replace(replace(url, '/', '-'), ':', '-'), '.git', '') ELSE owner || '-' || repo END AS slug, before IS NOT NULL AS address FROM ({ADDRESSED}) a")
