@@ -1,4 +1,4 @@
-"""Byte grams: rolling keys over whole texts, exact counts, and a bounded memo of what a model says of a gram.
+"""Byte grams: rolling keys over whole texts, exact counts, and a bounded table of what a model says of a gram.
 
 A gram of order d is a byte with the d bytes before it, packed into an integer, the newest byte lowest. Before
 the first byte of a text the context is zero bytes, so contexts never cross texts.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm._common import merge_counts
+from tessera.llm._common import find, merge_counts
 
 #: Distinct grams that a task holds before it hands them on.
 FLUSH = 1_500_000
@@ -52,27 +52,45 @@ class GramCounter:
         return out
 
 
-class GramMemo:
-    """Values of grams, computed once while they stay in a table of fixed size; exact."""
+class Codes:
+    """Values of the hot grams (sorted keys, a row of values each), behind a table of fixed size of those met last. A gram that
+    is not hot has NaN."""
 
-    def __init__(self, evaluate, width: int, bits: int = 20) -> None:
-        self.evaluate, self.shift = evaluate, np.uint64(64 - bits)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18) -> None:
+        self.hot, self.all, self.shift = keys, values, np.uint64(64 - bits)
         self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros((1 << bits, width), np.float32)
+        self.values = np.full((1 << bits, values.shape[1]), np.nan)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        slot = self.slots(keys)
         out = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != keys)
         if len(miss):
-            wanted = np.unique(keys[miss])
-            got = self.evaluate(wanted).astype(np.float32)
-            out[miss] = got[np.searchsorted(wanted, keys[miss])]
-            at = ((wanted * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+            wanted, back = np.unique(keys[miss], return_inverse=True)
+            at = find(self.hot, wanted)
+            got = np.full((len(wanted), self.all.shape[1]), np.nan)
+            got[at >= 0] = self.all[at[at >= 0]]
+            out[miss] = got[back]
+            at = self.slots(wanted)
             self.keys[at], self.values[at] = wanted, got
         return out
 
 
+def cold_by_text(keys: np.ndarray, values: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets by text, keys, times) of the grams without a value; those get the value zero in `values`."""
+    at = np.flatnonzero(np.isnan(values[:, 0]))
+    values[at] = 0.0
+    text = np.searchsorted(np.cumsum(lens), at, "right")
+    order = np.lexsort((keys[at], text))
+    text, k = text[order], keys[at][order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (k[1:] != k[:-1])]) if len(k) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(k)])
+    return np.searchsorted(text[first], np.arange(len(lens) + 1)), k[first], times
+
+
 def sums_by_text(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Column sums of values for each text; zero for an empty one."""
     out = np.zeros((len(lens), values.shape[1]))

@@ -20,7 +20,7 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, l, "s", 1, "clash", 0.5, "clash") for i, t, l in rows], DOC)
 
 
-ODD = [(1, None, "en"), (2, "", None), (None, "the cat", "en"), (3, "12 34 --", "en"), (4, "word " * 20000, "en"), (5, "the cat", "en"), (5, "the cat", "en"), (6, "été " * 3, "fr"), (7, "\x00\x00", "fr"), (8, "a" * 300_000, "en")]
+ODD = [(1, None, "en"), (2, "", None), (None, "the cat", "en"), (3, "12 34 --", "en"), (4, "word " * 20000, "en"), (5, "the cat", "en"), (5, "the cat", "en"), (6, "été " * 3, "fr"), (7, "\x00\x00", "fr"), (8, "a" * 300_000, "en"), (9, "½ ² Ⅷ", "en")]
 
 
 def test_gram_keys_are_the_bytes_before():
@@ -31,7 +31,7 @@ def test_gram_keys_are_the_bytes_before():
 
 
 def plain_ppm(train, order, key):
-    """Code length of a gram by plain dictionaries, without pruning."""
+    """Code length of a gram by plain dictionaries."""
     counts = {}
     for t in train:
         for i in range(len(t)):
@@ -50,11 +50,23 @@ def plain_ppm(train, order, key):
     return bits + 8
 
 
-def test_ppm_against_a_plain_one(spark):
-    train = [(i, t, "xx") for i, t in enumerate(["abracadabra", "abba", "cab"])]
-    model = langid.train(docs(spark, train), order=2, max_contexts=1 << 30)
-    keys, _ = grams.gram_keys([b"abrazo", b"zzz", b"cad"], 2)
-    assert model.bits(keys)[:, 0] == pytest.approx([plain_ppm([t.encode() for _, t, _ in train], 2, k) for k in keys])
+@pytest.mark.parametrize(("max_cells", "split"), [(1 << 22, 1), (1 << 22, 0), (40, 1), (1, 0)])
+def test_code_lengths_are_of_the_whole_trees_whatever_is_broadcast(spark, max_cells, split):
+    """Every context of every training text is in the tree of its language, for texts that hold what no training text holds too."""
+    train = [(0, "abracadabra", "xx"), (1, "abba", "xx"), (2, "cab été", "yy"), (3, "bread and bran", "yy"), (4, "abba", "yy")]
+    held = ["abrazo", "zzz", "cad " * 40, "a", "bran été \U0001f600", "12", "abba"]
+    d = docs(spark, train + [(10 + i, t, None) for i, t in enumerate(held)]).repartition(3)
+    model = langid.train(d, order=2, max_cells=max_cells, split=split)
+    got = {r["doc_id"]: r for r in langid.predict(d.where("doc_id >= 10"), model).collect()}
+    for i, t in enumerate(held):
+        if t == "12":
+            continue
+        keys, _ = grams.gram_keys([t.encode()], 2)
+        bits = [sum(plain_ppm([x.encode() for _, x, y in train if y == lang], 2, k) for k in keys) for lang in ("xx", "yy")]
+        r = got[10 + i]
+        assert r["bits_per_byte"] * len(t.encode()) == pytest.approx(min(bits)) and r["lang_pred"] == ("xx", "yy")[bits[1] < bits[0]]
+        assert r["score"] == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits))
+    assert got[15]["lang_pred"] == "und"
 
 
 def test_language_on_held_out_rows(spark):
@@ -70,7 +82,7 @@ def test_language_of_odd_rows(spark):
     got = langid.predict(d, langid.train(d)).collect()
     assert len(got) == len(ODD)
     by = {r["doc_id"]: r for r in got}
-    assert by[1]["lang_pred"] == by[2]["lang_pred"] == by[3]["lang_pred"] == "und" and by[1]["score"] == 0.0
+    assert by[1]["lang_pred"] == by[2]["lang_pred"] == by[3]["lang_pred"] == by[9]["lang_pred"] == "und" and by[1]["score"] == 0.0
     assert by[6]["lang_pred"] == "fr" and by[4]["lang_pred"] == by[8]["lang_pred"] == "en"
     none = langid.predict(d, langid.train(d.limit(0)))
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and langid.predict(d.limit(0), langid.train(d)).count() == 0
@@ -126,26 +138,43 @@ def plain_ctw(train, depth):
 
 
 def tree_of(train, depth):
-    keys, _ = grams.gram_keys(train, depth)
-    out = []
-    for d in range(depth + 1):
-        u, n = np.unique(keys & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True)
-        out.append((u, n.astype(float)))
-    return lm.build(out)
+    keys, n = np.unique(grams.gram_keys(train, depth)[0], return_counts=True)
+    return lm.levels_of(keys, n.astype(float), 0, depth)
 
 
 def test_ctw_against_the_definition():
     train = [b"abracadabra\n", b"banana band\n", b"cab\n"]
     tree, plain = tree_of(train, 2), plain_ctw(train, 2)
     keys, _ = grams.gram_keys([b"banda\n", b"zab", b"abr"], 2)
-    assert tree.log2(keys)[:, 0] == pytest.approx([plain(k) for k in keys], abs=1e-5)
+    assert lm.log2_of(keys, tree) == pytest.approx([plain(k) for k in keys], abs=1e-9)
+
+
+def test_log_kt_of_small_and_large_counts():
+    a = np.array([0, 3, 5, 70_000, 10, 3_000_000, 65_535.0])
+    b = np.array([0, 0, 2, 3, 90_000, 8_000_000, 1.0])
+    want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(x + y + 1) for x, y in zip(a, b)]
+    assert lm.log_kt(a, b) == pytest.approx(want, rel=1e-11, abs=1e-12)
 
 
 def test_ctw_probabilities_sum_to_one():
     tree = tree_of([b"the cat sat on the mat\n" * 3, b"a dog\n"], 3)
     for ctx in (b"the", b"zzz", b"\0\0\0", b" ma"):
         keys = np.array([int.from_bytes(ctx + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert np.exp2(tree.log2(keys)).sum() == pytest.approx(1.0, abs=1e-5)
+        assert np.exp2(lm.log2_of(keys, tree)).sum() == pytest.approx(1.0, abs=1e-9)
+
+
+@pytest.mark.parametrize(("max_hot", "split", "part"), [(1 << 21, 2, 1 << 18), (1 << 21, 0, 7), (30, 1, 7), (1, 2, 1), (1, 3, 100)])
+def test_scores_are_of_the_whole_tree_whatever_is_broadcast(spark, monkeypatch, max_hot, split, part):
+    """Every context of every training text is in the tree, also in texts that were not learned from."""
+    monkeypatch.setattr(lm, "PART_ROWS", part)
+    rows = ["the cat sat on the mat", "The  catalogue of mats", "a rat", "zyx qqq", "", None, "été", "the cat sat on the mat", "x" * 300]
+    d = docs(spark, [(i, t, "en") for i, t in enumerate(rows)]).repartition(3)
+    whole = lambda t: b" ".join((t or "").encode().lower().split()) + b"\n"
+    used = [whole(t) for t in rows[:3] + rows[7:8]]
+    plain = plain_ctw(used, 3)
+    got = lm.score(d, lm.train(d.where("doc_id < 3 OR doc_id = 7"), depth=3, max_hot=max_hot, split=split)).collect()
+    want = {i: sum(plain(k) for k in grams.gram_keys([whole(t)], 3)[0]) * math.log10(2) for i, t in enumerate(rows)}
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
 
 
 def plain_base(train, text):
