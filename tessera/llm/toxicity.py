@@ -1,21 +1,22 @@
-"""Toxicity: class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihood.
-
-Words are Unicode letter and digit runs of the lowered text; counts are of texts that hold an expression. For class c
-and a known word w after u
-    P_c(w | u) = max(n_c(u, w) - D, 0) / n_c(u) + left_c(u) P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c     + left_c    P(w)
-where n_c counts known words, `left` is the mass that discounting and left-out entries free, and P(w) is the Kneser-Ney continuation estimate (the
-number of distinct words before w over all texts' pairs, the rest being unknown words'), counted over both classes together. A word in fewer than
-`min_texts` texts, or whose counts do not set the classes apart (G^2 below `min_g2`, or rates less than `min_ratio` times one another), is unknown, an event of one
-probability for both classes; such a pair is left to its word. So an expression too rare to tell the classes apart is
-smoothed to the same shared backoff in both and says nothing.
-
-The score is a logistic function of length-normalised log-likelihood ratios: the mean over the n words, the sum over
-the root of n, and the largest mean over each of `windows` words in a row (a few toxic words in a long text are not averaged
-away). Its coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
-
-Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole texts). Which entries are
-kept depends on their own counts alone and not on how many there are, so what is broadcast grows with those rows and no further.
+"""Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
+
+Words are Unicode letter and digit runs of the lowered text. Both classes' models have Kneser-Ney continuation counts: n_c(w)
+is the number of different words that stand before w in texts of class c, and n_c(u, w) that of different words before the pair;
+so what one text or its copies repeat counts once, and an expression counts as often as it is used in a new place. With
+the discount D and the strength S, and a start of text before the first word,
+    P(w)       = (n(w) + 1/2) / (N + 1)                                          n(w): different words before w in either class
+    P_c(w)     = (max(n_c(w) - D, 0) + left_c P(w)) / N_c                        left_c: what all words lose by the discount
+    P_c(w | u) = (max(n_c(u, w) - D, 0) + (left_c(u) + S) P_c(w)) / (n_c(u) + S) left_c(u): what all pairs after u lose
+Every word of a text is scored. A rare expression, one with at most D places in a class, is smoothed to the shared backoff P(w)
+there; the backoff is the same for both classes, so that noise of rare words cancels. As such an expression adds nothing of its own,
+only those with more than D places in a class need be kept, and dropping the others changes no score.
+
+A text's score is a logistic function of length-normalised log-likelihood ratios, log P_toxic - log P_ordinary a word: over the whole
+text, and the largest over any `windows` words in a row (a few toxic words in a long text are not averaged away). Its
+coefficients are fitted on training rows that were not counted (crc32(doc_id) mod 5 = 0 of them).
+
+Bounds: about `max_rows` labelled rows at most are learned from (beyond it an even share of the rows, by a hash of the id; whole
+texts). All else covers all data; what is broadcast grows with those rows and no further.
 
 Edge cases: null and empty texts have ratios of zero and score like a text without evidence. Labels other than 0 and 1, or
 null, are not learned from. With no row of one of the classes, every score is the share of toxic rows (0 if no rows).
@@ -34,14 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import crc_mod, find, materialize, small_batches
+from tessera.llm._common import crc_mod, find, id_type, materialize, small_batches
 
 WORD = re.compile(r"[^\W_]+")
-WINDOWS = (8, 64, 256)
+WINDOWS = (1, 2, 4, 8, 64, 256)
 #: Labelled rows that are learned from, about, at most.
 MAX_ROWS = 200_000
+DISCOUNT, STRENGTH = 3, 1000.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ALL = -1
+#: Different uses of words that a task holds before it hands them on.
+FLUSH = 2_000_000
+START = np.uint64(0)
 
 
 def word_keys(words: list[str]) -> np.ndarray:
@@ -52,163 +56,112 @@ def join_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (before * MIX + (keys ^ (keys >> np.uint64(29)))) * MIX
 
 
-def pair_keys(keys: np.ndarray) -> np.ndarray:
-    """Of each word with the word before it; the first follows the start of text, key 0."""
-    return join_keys(np.r_[np.uint64(0), keys[:-1]] if len(keys) else keys, keys)
+def shifted(keys: np.ndarray, by: int) -> np.ndarray:
+    """The word `by` places before each; the start of text before the first."""
+    return np.r_[np.full(min(by, len(keys)), START), keys[: max(0, len(keys) - by)]]
 
 
 @dataclass
 class KneserNey:
-    """Sorted keys with the log-likelihood ratio parts; all arrays have two columns, ordinary and toxic."""
+    """Sorted keys of words and of pairs with more than D places in a class, and of words before which such pairs stand; arrays
+    have two columns, ordinary and toxic."""
 
     words: np.ndarray
     counts: np.ndarray
+    shared: np.ndarray
+    befores: np.ndarray
     after: np.ndarray
+    left_after: np.ndarray
     pairs: np.ndarray
     pair_counts: np.ndarray
+    n: np.ndarray
     left: np.ndarray
-    cont: np.ndarray
-    n_words: np.ndarray
-    n_pairs: float
-    left_all: np.ndarray
-    discount: float = 0.75
+    discount: float = DISCOUNT
+    strength: float = STRENGTH
     windows: tuple[int, ...] = WINDOWS
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3 + len(WINDOWS)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(WINDOWS)))
     prior: float | None = None
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """log P_toxic / P_ordinary of each word in turn."""
+        """log P_toxic - log P_ordinary of each word in turn."""
         if not len(keys):
             return np.empty(0)
-        w = find(self.words, keys)
-        known = w >= 0
-        cont = np.where(known, self.cont[w], 0.5) if len(self.words) else np.full(len(keys), 0.5)
-        shared = (cont + 0.5) / (self.n_pairs + 1)
-        n = np.where(known[:, None], self.counts[w], 0) if len(self.words) else np.zeros((len(keys), 2))
-        uni = np.maximum(n - self.discount, 0) / self.n_words + self.left_all * shared[:, None]
-        u = np.r_[-1, w[:-1]]
-        nu = np.where((u >= 0)[:, None], self.after[u], 0) if len(self.words) else np.zeros((len(keys), 2))
-        p = find(self.pairs, pair_keys(keys))
-        npair = np.where((p >= 0)[:, None], self.pair_counts[p], 0) if len(self.pairs) else np.zeros((len(keys), 2))
-        left = np.where(nu > 0, self.left[u], 1.0) if len(self.words) else np.ones((len(keys), 2))
-        out = np.log(np.where(nu > 0, np.maximum(npair - self.discount, 0) / np.maximum(nu, 1), 0) + left * uni)
-        return np.where(known, out[:, 1] - out[:, 0], 0.0)
+        w, before = find(self.words, keys), shifted(keys, 1)
+        u, p = find(self.befores, before), find(self.pairs, join_keys(before, keys))
+        take = lambda values, at, none: np.where((at >= 0)[:, None], values[at], none) if len(values) else np.full((len(at), 2), none, float)
+        own, pair = take(self.counts, w, 0.0), take(self.pair_counts, p, 0.0)
+        # of a word that is not kept P(w) is a common factor, and any value serves
+        backoff = np.where(w >= 0, self.shared[w], 1.0) if len(self.shared) else np.ones(len(keys))
+        word = (np.maximum(own - self.discount, 0) + self.left * backoff[:, None]) / self.n
+        size, left = take(self.after, u, 0.0), take(self.left_after, u, 0.0)
+        full = (np.maximum(pair - self.discount, 0) + (left + self.strength) * word) / (size + self.strength)
+        return np.log(full[:, 1] / full[:, 0])
 
     def features(self, text: str | None) -> list[float]:
         r = self.ratios(word_keys(WORD.findall((text or "").lower())))
         if not len(r):
-            return [0.0] * (2 + len(self.windows))
+            return [0.0] * (1 + len(self.windows))
         sums = np.r_[0.0, np.cumsum(r)]
         best = [float((sums[k:] - sums[:-k]).max() / w) for w in self.windows for k in [min(w, len(r))]]
-        return [float(sums[-1] / len(r)), float(sums[-1] / len(r) ** 0.5), *best]
+        return [float(sums[-1] / len(r)), *best]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n0, n1): texts of each class that hold a word."""
-    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, w, a, y): each word of a class with the word before, and a hash of the one before that; each once a task, about."""
+    held, size = [], 0
 
     def rows():
-        for label, texts in held.items():
-            keys, n = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            for i in range(0, len(keys), 1 << 16):
-                k, c = keys[i : i + (1 << 16)].astype(np.int64), n[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c * (label == 0)), pa.array(c * (label == 1))], ["key", "n0", "n1"])
-            held[label] = []
-
-    size = 0
+        if not held:
+            return
+        u, w, a, y = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        first = np.unique(join_keys(join_keys(join_keys(u, w), a), y.astype(np.uint64)), return_index=True)[1]
+        for i in range(0, len(first), 1 << 16):
+            at = first[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(u[at].astype(np.int64)), pa.array(w[at].astype(np.int64)), pa.array(a[at].astype(np.int64)), pa.array(y[at])], ["u", "w", "a", "y"])
+
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[label].append(np.unique(word_keys(WORD.findall(text.lower()))))
-            size += len(held[label][-1])
-        if size > 3_000_000:
-            yield from rows()
-            size = 0
-    yield from rows()
-
-
-def _pairs(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(u, w, n0, n1): texts of each class that hold a pair which ends in a known word; u is any word, 0 at the start. A
-        row (ALL, ALL) counts all pairs."""
-        held: list[np.ndarray] = []
-        every = np.zeros(2, np.int64)
-
-        def rows():
-            got, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True) if held else (np.empty((3, 0), np.uint64), np.empty(0, np.int64))
-            y = got[2].astype(np.int64)
-            both = [np.r_[got[0].astype(np.int64), ALL], np.r_[got[1].astype(np.int64), ALL], np.r_[n * (1 - y), every[0]], np.r_[n * y, every[1]]]
-            held.clear()
-            every[:] = 0
-            for i in range(0, len(both[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in both], ["u", "w", "n0", "n1"])
-
-        size = 0
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = word_keys(WORD.findall(text.lower()))
-                every[label] += len(np.unique(pair_keys(keys)))
-                at = np.flatnonzero(find(known.value, keys) >= 0)
-                if len(at):
-                    pairs = np.unique(np.stack([np.where(at > 0, keys[at - 1], np.uint64(0)), keys[at]]), axis=1)
-                    held.append(np.concatenate([pairs, np.full((1, pairs.shape[1]), label, np.uint64)]))
-                    size += pairs.shape[1]
-            if size > 1_000_000:
+            keys = word_keys(WORD.findall(text.lower()))
+            held.append((shifted(keys, 1), keys, shifted(keys, 2), np.full(len(keys), label, np.int8)))
+            size += len(keys)
+            if size > FLUSH:
                 yield from rows()
                 size = 0
-        yield from rows()
-
-    return run
+    yield from rows()
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = MAX_ROWS, min_texts: int = 4, min_g2: float = 15.0, min_ratio: float = 2.0, discount: float = 0.75, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", *, max_rows: int = MAX_ROWS, discount: float = DISCOUNT, strength: float = STRENGTH, windows: tuple[int, ...] = WINDOWS) -> KneserNey:
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("y in (0, 1)")
-    found = rows.count()
+    size = rows.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("h") % 5 == 0).alias("tuned")).collect()
+    found, share = sum(r["n"] for r in size), sum(r["n"] * r["y"] for r in size) / max(1, sum(r["n"] for r in size))
     if found > max_rows:  # the documented bound: an even share of all labelled rows, by a hash of the id
         rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * max_rows / found))
     counted, tuned = rows.where("h % 5 <> 0"), rows.where("h % 5 = 0")
-    held = {r["y"]: r["count"] for r in counted.groupBy("y").count().collect()}
-    share = held.get(1, 0) / max(1, sum(held.values()))
-    both = F.col("n0") + F.col("n1")
-    part = lambda x, p: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (both * p))).otherwise(0.0)
-    g2 = 2 * (part("n0", 1 - share) + part("n1", share)) if 0 < share < 1 else F.lit(0.0)
-    odds = (F.col("n1") + 0.5) / (held.get(1, 0) + 1) / ((F.col("n0") + 0.5) / (held.get(0, 0) + 1))
-    telling = (g2 >= min_g2) & (F.greatest(odds, 1 / odds) >= min_ratio)
-    total = lambda: [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
-    words = materialize(counted.select("y", "t").mapInArrow(_words, "key long, n0 long, n1 long").groupBy("key").agg(*total()), "toxic-words")
-    enough = (both >= float(min_texts)) & telling
-    uni = words.where(enough).toArrow()
-    key = uni.column("key").to_numpy().astype(np.uint64)
-    order = np.argsort(key)
-    w = key[order]
-    shape = lambda t, o: np.stack([t.column(x).to_numpy() for x in ("n0", "n1")], 1)[o].astype(float) if t.num_rows else np.zeros((0, 2))
-    c = shape(uni, order)
-    pairs = materialize(counted.select("y", "t").mapInArrow(_pairs(spark.sparkContext.broadcast(w)), "u long, w long, n0 long, n1 long").groupBy("u", "w").agg(*total()), "toxic-pairs")
-    n_pairs = sum(pairs.where(F.col("u") == ALL).agg(F.coalesce(F.sum(both), F.lit(0))).first())
-    pairs = pairs.where(F.col("u") != ALL)
-    before = pairs.groupBy("w").agg(F.count("*").alias("n")).toArrow()  # a row for each known word
-    cont = np.zeros(len(w))
-    cont[find(w, before.column("w").to_numpy().astype(np.uint64))] = before.column("n").to_numpy()
-    names = words.where(enough).select(F.col("key").alias("u"))
-    after = pairs.join(names, "u", "left_semi")
-    follow = after.groupBy("u").agg(*total()).toArrow()
-    after_n = np.zeros((len(w), 2))
-    at = find(w, follow.column("u").to_numpy().astype(np.uint64))
-    after_n[at] = shape(follow, slice(None))
-    kept = after.where(enough).toArrow()
-    u, v = (kept.column(x).to_numpy().astype(np.uint64) for x in ("u", "w"))
-    pk = join_keys(u, v)
-    porder = np.argsort(pk)
-    pc = shape(kept, porder)
-    spent = np.zeros_like(after_n)
-    np.add.at(spent, find(w, u[porder]), np.maximum(pc - discount, 0))
-    left = 1 - np.divide(spent, after_n, out=np.zeros_like(spent), where=after_n > 0)
-    n1 = np.maximum(c.sum(0), 1)
-    model = KneserNey(w, c, after_n, pk[porder], pc, left, cont, n1, float(n_pairs), 1 - np.maximum(c - discount, 0).sum(0) / n1, discount, windows)
-    if len(held) < 2 or not tuned.limit(1).count():
-        both = rows.agg(F.avg("y")).first()[0]
-        model.prior = float(both or 0.0)
+    both = lambda x, n0="n0", n1="n1": [F.sum(F.when(F.col("y") == c, x).otherwise(0)).cast("double").alias(n) for c, n in ((0, n0), (1, n1))]
+    # all places of a pair are dealt to one task, so its places are told apart and counted there
+    places = counted.select("y", "t").mapInArrow(_places, "u long, w long, a long, y byte").repartition("u", "w").dropDuplicates(["u", "w", "a", "y"])
+    pairs = materialize(places.groupBy("u", "w").agg(*both(F.lit(1))), "toxic-pairs")
+    one = lambda c: F.sum((F.col(c) > 0).cast("double")).alias(c)
+    words = materialize(pairs.groupBy("w").agg(one("n0"), one("n1"), F.count("*").cast("double").alias("n")), "toxic-words")
+    lost = lambda c: F.sum(F.least(F.col(c), F.lit(float(discount))))
+    total = words.agg(*[F.coalesce(x, F.lit(0.0)) for x in (F.sum("n0"), F.sum("n1"), lost("n0"), lost("n1"), F.sum("n"))]).first()
+    more = (F.col("n0") > discount) | (F.col("n1") > discount)
+    kept_words, kept_pairs = words.where(more).toArrow(), pairs.where(more).toArrow()
+    befores = pairs.groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), lost("n0").alias("l0"), lost("n1").alias("l1")).where("l0 < n0 OR l1 < n1").toArrow()
+    key = lambda t, c: t.column(c).to_numpy().astype(np.uint64)
+    cols = lambda t, *c: np.stack([t.column(x).to_numpy() for x in c], 1)
+    wk, uk, pk = key(kept_words, "w"), key(befores, "u"), join_keys(key(kept_pairs, "u"), key(kept_pairs, "w"))
+    w, u, p = np.argsort(wk), np.argsort(uk), np.argsort(pk)
+    model = KneserNey(
+        wk[w], cols(kept_words, "n0", "n1")[w], (kept_words.column("n").to_numpy()[w] + 0.5) / (total[4] + 1),
+        uk[u], cols(befores, "n0", "n1")[u], cols(befores, "l0", "l1")[u], pk[p], cols(kept_pairs, "n0", "n1")[p],
+        np.maximum(np.array(total[:2]), 1), np.maximum(np.array(total[2:4]), 1), discount, strength, windows,
+    )
+    if any(r["n"] == r["tuned"] for r in size) or len(size) < 2 or not any(r["tuned"] for r in size):
+        model.prior = share
         return model
     shared = spark.sparkContext.broadcast(model)
 
@@ -218,7 +171,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64()))], ["y", "f"])
 
     table = tuned.select("y", "t").mapInArrow(featured, "y int, f array<double>").toArrow()
-    x = np.array(table.column("f").to_pylist()).reshape(-1, 2 + len(windows))
+    x = np.array(table.column("f").to_pylist()).reshape(-1, 1 + len(windows))
     model.weights = logistic(x, table.column("y").to_numpy().astype(float))
     return model
 
@@ -241,7 +194,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: KneserNey, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted, mean_ratio, window_ratio) of every row of docs."""
+    """(doc_id, score, predicted, mean_ratio, window_ratio) of every row of docs; window_ratio is that of the narrowest windows."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -249,13 +202,12 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", doc_id: str = "
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 2 + len(m.windows))
+            f = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 1 + len(m.windows))
             s = 1 / (1 + np.exp(-np.clip(m.weights[0] + f @ m.weights[1:], -500, 500)))
             s = s if m.prior is None else np.full(len(f), m.prior)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 2])], [doc_id, "score", "predicted", "mean_ratio", "window_ratio"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1])], [doc_id, "score", "predicted", "mean_ratio", "window_ratio"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, F.col(text).cast("string").alias("_text")).mapInArrow(rows, f"`{doc_id}` {kind}, score double, predicted int, mean_ratio double, window_ratio double")
+    return docs.select(doc_id, F.col(text).cast("string").alias("_text")).mapInArrow(rows, f"{id_type(docs, doc_id)}, score double, predicted int, mean_ratio double, window_ratio double")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:

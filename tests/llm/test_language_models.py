@@ -224,22 +224,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.predicted[got.toxic == 0].mean() < 0.03
 
 
-def test_kneser_ney_counts_against_plain_ones(spark):
-    rows = [(i, "you absolute clod go away" if i % 2 else "you may go away now", "x") for i in range(60)]
-    d = docs(spark, rows).withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
-    m = toxicity.train(d.select("doc_id", "text", "toxic"))
-    used = [t.split() for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
-    key = {int(toxicity.word_keys([w])[0]): w for t in used for w in t}
-    known = [key[int(k)] for k in m.words]
-    assert set(known) == {"absolute", "clod", "may", "now"}  # the others are as common in both classes
-    for w, c, cont in zip(known, m.counts, m.cont):
-        holding = [t for t in used if w in t]
-        assert c.sum() == len(holding) and min(c) == 0 and cont == len({t[t.index(w) - 1] for t in holding})
-    assert m.n_pairs == sum(len(t) for t in used)
-    spent = np.maximum(m.counts - m.discount, 0).sum(0) / m.n_words
-    assert m.left_all == pytest.approx(1 - spent) and np.all(m.left >= 0) and np.all(m.left <= 1)
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, m).collect()}
-    assert got == {i: i % 2 for i in range(60)}
+def plain_kneser_ney(rows, D, S):
+    """A function from texts to their words' log-likelihood ratios, by plain sets and sums over every word and pair."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    uses = [set(), set()]
+    for t, y in rows:
+        w = words(t)
+        for i, x in enumerate(w):
+            uses[y].add((w[i - 2] if i > 1 else None, w[i - 1] if i else None, x))
+    pair, word, after = [], [], []
+    for y in (0, 1):
+        pair.append(Counter((u, w) for _, u, w in uses[y]))
+        word.append(Counter(w for u, w in pair[y]))
+        after.append(Counter())
+        for (u, _), n in pair[y].items():
+            after[y][u] += n
+    shared = Counter(w for u, w in set(pair[0]) | set(pair[1]))
+    lost = lambda c: sum(min(n, D) for n in c.values())
+
+    def p(y, u, w):
+        base = (shared[w] + 0.5) / (sum(shared.values()) + 1)
+        one = (max(word[y][w] - D, 0) + lost(word[y]) * base) / sum(word[y].values())
+        left = sum(min(n, D) for (v, _), n in pair[y].items() if v == u)
+        return (max(pair[y][u, w] - D, 0) + (left + S) * one) / (after[y][u] + S)
+
+    def ratios(t):
+        w = words(t)
+        return [math.log(p(1, w[i - 1] if i else None, x) / p(0, w[i - 1] if i else None, x)) for i, x in enumerate(w)]
+
+    return ratios
+
+
+@pytest.mark.parametrize(("discount", "strength"), [(3, 1000.0), (1, 2.0)])
+def test_kneser_ney_ratios_against_plain_ones(spark, discount, strength):
+    """Of every word, rare and unseen ones too, though only what has more places than the discount is kept."""
+    rng = np.random.default_rng(4)
+    usual, rude = "the a you go now cat dog runs far away and so it is".split(), ["clod", "oaf", "absolute clod"]
+    rows = [(i, " ".join(rng.choice(usual + (rude if i % 2 else ["sir"]), 14)) + f" w{i}", "x") for i in range(120)]
+    d = docs(spark, rows).withColumn("toxic", (F.col("doc_id") % 2).cast("int")).repartition(3)
+    m = toxicity.train(d.select("doc_id", "text", "toxic"), discount=discount, strength=strength)
+    counted = [(t, i % 2) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    plain = plain_kneser_ney(counted, discount, strength)
+    for t in ["you absolute clod go away", "the new cat", "w3 w4", "Sir, the oaf", "oaf", rows[0][1]]:
+        assert m.ratios(toxicity.word_keys(re.findall(r"[^\W_]+", t.lower()))) == pytest.approx(plain(t), rel=1e-9)
+    assert 0 < len(m.words) < 40
+    r = plain("go now you clod")
+    sums = np.r_[0, np.cumsum(r)]
+    assert m.features("go now you clod") == pytest.approx([sum(r) / 4, *[(sums[min(k, 4) :] - sums[: -min(k, 4)]).max() / k for k in m.windows]])
+    x = m.weights[0] + np.array(m.features("you clod")) @ m.weights[1:]
+    got = toxicity.score(docs(spark, [(1, "you clod", "x")]), m).first()
+    assert got["score"] == pytest.approx(1 / (1 + math.exp(-x))) and got["mean_ratio"] == pytest.approx(np.mean(plain("you clod")))
+    hit = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, m).collect()}
+    assert np.mean([hit[i] == i % 2 for i in range(120)]) > 0.9
 
 
 def test_toxicity_of_odd_rows_and_one_class(spark):
@@ -253,11 +289,21 @@ def test_toxicity_of_odd_rows_and_one_class(spark):
 
 
 def test_toxic_words_are_kept_however_many_counts_there_are(spark):
-    """A word of 12 toxic texts and no other tells them apart, beside over four million counts of other words too."""
+    """A word in 12 toxic texts and no other has a ratio of its own, beside over four million counts of other words too."""
     counted = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5]
     rude = [i for i in counted if i % 2][:12]
+    before = F.concat(F.lit("w"), F.col("id").cast("string"))  # another word before it each time
     filler = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3499)), lambda k: F.concat(F.lit("w"), k.cast("string"))), " ")
-    d = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(filler, F.when(F.col("id").isin(rude), " clod").otherwise("")).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    d = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(filler, F.when(F.col("id").isin(rude), F.concat(F.lit(" "), before, F.lit(" clod"))).otherwise("")).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
     m = toxicity.train(d)
-    assert m.words.tolist() == toxicity.word_keys(["clod"]).tolist() and m.counts.tolist() == [[0.0, 12.0]]
-    assert m.pair_counts.tolist() == []  # no known word comes before it
+    at = m.words.tolist().index(int(toxicity.word_keys(["clod"])[0]))
+    shared = m.left * m.shared[at]  # what the backoff gives it in each class
+    assert m.counts[at].tolist() == [0.0, 12.0]
+    assert m.ratios(toxicity.word_keys(["clod"]))[0] == pytest.approx(math.log((9 + shared[1]) / m.n[1]) - math.log(shared[0] / m.n[0])) and shared[1] < 13
+
+
+def test_of_many_labelled_rows_an_even_share_is_learned_from(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = toxicity.training_rows(d, d, max_rows=500)
+    assert 350 < rows.count() < 650 and {r["toxic"] for r in rows.collect()} == {0, 1}
+    assert toxicity.train(d, max_rows=400).n.sum() < 500
