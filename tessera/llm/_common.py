@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch, about; a longer text has a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a numpy step works on at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Tables that were written between steps and not yet deleted.
 WRITTEN: list[tuple[SparkSession, str]] = []
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import chunks_of, materialize, power_floor, small_batches, whole_groups
+from tessera.llm._common import chunks_of, find, materialize, power_floor, small_batches, whole_groups
 from tessera.llm.grams import Codes, GramCounter, cold_by_text, gram_keys, sums_by_text
 
 END = b"\n"
@@ -328,14 +328,13 @@ class Memo(dict):
         super().__init__()
         self.hot = hot
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Look up what these texts hold and was not met yet."""
+        if len(self) > 300_000:
             self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(token))
-        at = int(np.searchsorted(self.hot, h))
-        at = at if at < len(self.hot) and self.hot[at] == h else -1
-        self[token] = at
-        return at
+        new = list(set().union((END,), *texts).difference(self))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        self.update(zip(new, find(self.hot, keys).tolist()))
 
 
 PIECES = "array<struct<kind:byte,key:bigint,times:int>>"
@@ -360,6 +359,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         for batch in batches:
             split = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             n_tokens, n_hot, base, rare, total, size = [], [], [], [], [], []
+            place.learn(split)
             for w in split:
                 at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
                 end = place[END]
