@@ -141,17 +141,74 @@ def test_shards_keep_all_rows_and_merge_like_sizes(spark, tmp_path):
     rows = store.assignments(["doc_id"])
     assert rows.count() == 20000 and rows.select("shard").distinct().count() == len(after["runs"])
     with pytest.raises(RuntimeError, match="another writer"):
-        store._commit(before["version"], before["runs"])
-    assert store.vacuum(4) == 27 and store.versions() == [4] and store.read().count() == 20000
+        store._commit(before["version"], before["runs"], before["schema"])
+    assert store.vacuum([1, 2, 3]) == 27 and store.versions() == [4] and store.read().count() == 20000
     assert len([p for p in (tmp_path / "s/data").rglob("part-*")]) == len(after["runs"])
 
 
+def test_tiers_against_plain_rules(spark, tmp_path):
+    """After each arrival no tier is full; what is done is never written again; runs only ever merge with their tier."""
+    d = spark.range(12_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", target=1_200_000, fanout=3)
+    tier = lambda size: next(t for t in range(99) if size < 4096 * 3 ** (t + 1))
+    done, written = set(), 0
+    for k in range(8):
+        store.append(d.where(f"doc_id % 8 = {k}").repartition(2))
+        before = {r["path"]: r for r in store.manifest()["runs"]}
+        version = store.compact()
+        runs = store.manifest()["runs"]
+        small = [r for r in runs if r["bytes"] < 600_000]
+        assert all(sum(tier(r["bytes"]) == t for r in small) < 3 for t in range(9)) and all(r["tier"] == tier(r["bytes"]) for r in small)
+        assert done <= {r["path"] for r in runs}  # files of about the target stay
+        done |= {r["path"] for r in runs if r["bytes"] >= 600_000}
+        gone = [r for p, r in before.items() if p not in {x["path"] for x in runs}]
+        assert not gone or len(gone) >= 3
+        written += len(gone)
+        assert sum(r["rows"] for r in runs) == store.read(version).count() == d.where(f"doc_id % 8 <= {k}").count()
+    assert written and done and sorted(r[0] for r in store.read().select("doc_id").collect()) == list(range(12_000))
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = spark.range(10).selectExpr("id AS doc_id")
+    stores = [shards.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(4)]
+    stores[0].append(d)
+    for _ in range(8):
+        now = stores[0].manifest()
+
+        def attempt(store):
+            try:
+                return store._commit(now["version"], now["runs"], now["schema"])
+            except RuntimeError:
+                return None
+
+        with ThreadPoolExecutor(4) as pool:
+            got = list(pool.map(attempt, stores))
+        assert sorted(x for x in got if x) == [now["version"] + 1] and stores[0].manifest()["version"] == now["version"] + 1
+    assert stores[0].read().count() == 10
+
+
+def test_what_a_killed_writer_left_goes_after_a_grace_period(spark, tmp_path):
+    store = shards.shard(spark.range(10).selectExpr("id AS doc_id"), f"file://{tmp_path}/s")
+    store._write(spark.range(5, numPartitions=1).selectExpr("id AS doc_id"))  # and no commit
+    (tmp_path / "s/manifest/.draft").write_text("{}")
+    files = lambda: len(list((tmp_path / "s/data").rglob("part-*.parquet")))
+    assert files() == 2 and store.vacuum([]) == 0 and files() == 2 and store.read().count() == 10
+    assert store.vacuum([], grace_seconds=-1) == 1 and files() == 1 and store.read().count() == 10
+    assert not (tmp_path / "s/manifest/.draft").exists()
+
+
 def test_shards_of_odd_tables(spark, tmp_path):
-    d = spark.createDataFrame([(1, None), (None, ""), (1, None)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, None, "c"), (None, "", "c"), (1, None, "c")], "doc_id long, text string, _arrival string")
     store = shards.shard(d, f"file://{tmp_path}/a", arrivals=2)
     assert sorted(map(repr, store.read().collect())) == sorted(map(repr, d.collect()))
-    empty = shards.shard(d.limit(0), f"file://{tmp_path}/b")
-    assert empty.assignments(["doc_id"]).count() == 0
+    held = store.manifest()
+    assert store.append(d.limit(0)) == held["version"] + 1 and store.manifest()["runs"] == held["runs"]
+    store = shards.shard(d, f"file://{tmp_path}/a", arrivals=2)  # onto what is there, whose versions stay
+    assert store.read().count() == 6 and store.read(held["version"]).count() == 3
+    empty = shards.shard(d.limit(0), f"file://{tmp_path}/b", arrivals=3)
+    assert empty.manifest()["runs"] == [] and empty.read().columns == d.columns and empty.assignments(["doc_id"]).count() == 0
     with pytest.raises(ValueError, match="no runs"):
         shards.ShardStore(spark, f"file://{tmp_path}/c").read()
 
