@@ -13,13 +13,15 @@ with its line feed. The vocabulary is a file of byte ranks at `vocabulary`, read
 a parameter and no part of this package.
 
 Edge cases: null and empty texts are one empty section without tokens. A section start beyond the text is an empty section.
-Repeated rows are each encoded. A word of any length is encoded whole.
+Repeated rows are each encoded. A word of any length is encoded whole, and so is a run of blanks: the split's pattern would
+overflow its stack on a long one, so such a run is cut out first, as the pattern would cut it, and encoded as the piece that it is.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,33 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split that this vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "last", "share")
+#: Blanks (Unicode White_Space, the pattern's \s) in runs that may be long, and how long ones are cut out.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{64,}")
+LONG = 10_000
+
+
+def around_blanks(text: str, encode: Callable[[str], list[int]], piece: Callable[[str], list[int]]) -> list[int]:
+    """What `encode` gives for the text, with long runs of blanks handed to `piece`. The pattern takes a run but for its last
+    blank as one piece, and that one goes with what follows; at the end of the text it takes the whole run."""
+    out, start = [], 0
+    for m in BLANKS.finditer(text) if len(text) >= LONG else ():
+        if m.end() - m.start() >= LONG:
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += encode(text[start : m.start()]) + piece(text[m.start() : end])
+            start = end
+    return out + encode(text[start:]) if start else encode(text)
 
 
 def encoder(ranks: bytes, pattern: str = PATTERN):
-    """(encode, lengths in bytes by id) of a rank file's content."""
+    """(encode, lengths in bytes by id) of a rank file's content. A pattern of one's own has to treat blanks as PATTERN does."""
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     sizes = np.zeros(max(table.values()) + 1, np.int64)
     for piece, i in table.items():
         sizes[i] = len(piece)
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary, sizes
+    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return lambda text: around_blanks(text, coder.encode_ordinary, coder._encode_single_piece), sizes
 
 
 def line_starts(text: str) -> np.ndarray:

@@ -76,6 +76,57 @@ def test_section_counts_sum_to_the_document(spark, rule):
     assert tokens.section_tokens(d.limit(0), rule=rule).count() == 0
 
 
+def plain_sections(encode, pieces, text, starts, rule):
+    """Tokens of each section, token by token and byte by byte."""
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+    section = lambda char: max(k for k, s in enumerate(starts) if s <= char)
+    out, crossing, at = [0.0] * len(starts), [0] * len(starts), 0
+    for t in encode(text):
+        places = [section(owner[b]) for b in range(at, at + len(pieces[t]))]
+        at += len(pieces[t])
+        crossing[places[0]] += places[0] != places[-1]
+        for p in {"first": places[:1], "last": places[-1:], "share": places}[rule]:
+            out[p] += 1 / (len(places) if rule == "share" else 1)
+    return out, crossing
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_section_counts_against_plain_ones(spark, rule):
+    import base64
+
+    ranks = open(tokens.VOCABULARY, "rb").read()
+    pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.splitlines())}
+    encode, _ = tokens.encoder(ranks)
+    texts = ["one line\nan other, longer line\n\n  end", "é😀ß naïve\n" * 7 + "x", " information retrieval  systems\r\n\tdo it"]
+    rng = np.random.default_rng(1)
+    rows = [(i, t, sorted({0, *rng.integers(1, len(t) + 3, 6).tolist()})) for i, t in enumerate(texts * 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, at array<int>")
+    for given in ("at", None):
+        got = {}
+        for r in tokens.section_tokens(d, sections=given, rule=rule).orderBy("doc_id", "section").collect():
+            got.setdefault(r["doc_id"], []).append((r["start"], r["n_tokens"], r["n_crossing"]))
+        for i, t, at in rows:
+            starts = at if given else [0, *(k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t))]
+            n, crossing = plain_sections(encode, pieces, t, starts, rule)
+            assert [x for x, _, _ in got[i]] == starts and [c for *_, c in got[i]] == crossing
+            assert [x for _, x, _ in got[i]] == pytest.approx(n)
+
+
+def test_long_runs_of_blanks(spark, monkeypatch):
+    encode, sizes = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    runs = [" " * 90, "\n" * 90, " \n" * 50, "\t\r " * 40 + "\u3000", "\xa0" * 80 + "\x85", " " * 70 + "\n"]
+    texts = [a + r + b for r in runs for a in ("", "word", "1", "é.") for b in ("", "word", " x", "9", "...", "\x1c")] + [f"a{runs[0]}b{runs[1]}c{runs[2]}"]
+    plain = [encode(t) for t in texts]  # short enough for the pattern
+    monkeypatch.setattr(tokens, "LONG", 64)
+    assert [encode(t) for t in texts] == plain
+    monkeypatch.undo()
+    rows = [(1, " " * 3_000_000), (2, "\n" * 1_000_000), (3, "a" + " " * 400_000 + "b\n" + "\t" * 400_000), (4, "z" * 1_000_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n"], r["s"]) for r in tokens.section_tokens(d).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("s")).collect()}
+    assert got == {i: (len(encode(t)), max(1, len(t.split("\n")) - t.endswith("\n"))) for i, t in rows}
+    assert all(sizes[encode(t)].sum() == len(t) for _, t in rows)
+
+
 def test_boundary_crossing_tokens(spark):
     text = " information retrieval"
     encode, sizes = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
