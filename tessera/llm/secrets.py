@@ -1,13 +1,17 @@
 """Secret scans, in DataFrame functions only: fixed patterns, and character Markov models of random strings.
 
 The base finds three kinds, leftmost and non-overlapping for each: assignments, access keys and long hex strings. The
-method adds the kind `markov`: runs of 20 or more of `[A-Za-z0-9+/_=-]` with both a letter and a digit, whose mean
+method adds the kind `markov`: in what the base leaves of a text (spans of assignments are taken out first, then access keys and
+hex strings of the rest), runs of 20 or more of `[A-Za-z0-9+/_=-]` with both a letter and a digit, whose mean
 log-likelihood ratio a character under a model of random strings against one of ordinary identifiers is at least
 `threshold`, over the run or over any 20 characters of it with both (so that a name or path before a value does not
-average it away), and which overlap no base span. Both models are first-order Markov chains over characters with one count
+average it away). Both models are first-order Markov chains over characters with one count
 added to each transition, trained from labelled samples (text, label: 1 random, 0 ordinary). `labelled_samples` makes some:
 digests in the alphabets that keys use against identifiers, paths, numbers and words put together from common parts.
 
+Places are running sums of the lengths of matches and of what is between them, taken in blocks, so that the work is about in
+proportion to a text and its matches, also where a text has a hundred thousand.
+
 Spans are kind:start:end in code points, end exclusive. Edge cases: null text is empty text, with no spans; repeated
 rows are scanned each for itself; spans that start together are ordered as the kinds are listed.
 """
@@ -32,21 +36,66 @@ WINDOW = 20
 PARTS = "get set user name id file path load save data list item count index value config parse read write open close start stop http https www com org html json test main page view model node edge table row column key token hash code line text word size time date year month day last first next prev left right top order total price image photo video audio content static assets public private class function return import export default module package version release build debug error warning info".split()
 
 
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int,m:string>>"
+#: Matches whose places are summed up in one go; the sums of such blocks are summed in turn.
+BLOCK = 64
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is worked out once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """The sums of an integer array before each of its elements. A fold that appends copies what it has, so blocks are folded by
+    themselves and their sums in turn, and neither array gets long."""
+
+    def fold(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def by_blocks(items: Column, deeper: int) -> Column:
+        n = F.ceil(F.size(items) / F.lit(BLOCK)).cast("int")
+        cut_up = F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(items, (k - 1) * BLOCK + 1, F.lit(BLOCK)))
+
+        def whole(blocks: Column) -> Column:
+            sums = let(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), lambda t: either(t, deeper - 1))
+            return F.flatten(F.zip_with(blocks, sums, lambda b, s: F.transform(fold(b), lambda x: x + s)))
+
+        return let(cut_up, whole)
+
+    def either(items: Column, deeper: int) -> Column:
+        return F.when(F.size(items) > BLOCK, by_blocks(items, deeper)).otherwise(fold(items)) if deeper else fold(items)
+
+    return let(values, lambda v: either(v, 2))
+
+
+def cut(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The matches of a pattern, and what is before, between and after them."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+
 def spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
-    """Array of (start, rank, kind, end) of a pattern's matches: what lies between them gives the places."""
+    """Array of (start, rank, kind, end, m) of a pattern's matches: what lies between them gives the places."""
     rank = {"assign": 0, "access": 1, "hex": 2}.get(kind, 3)
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.filter(F.arrays_zip(found.alias("m"), between.alias("g")), lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,m:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
-    )["out"]
-    kept = F.filter(placed, lambda s: keep(s["m"])) if keep else placed
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,m:string>>")
-    return F.when(text.rlike(pattern), kept).otherwise(none)
+    found, between = cut(text, pattern)
+
+    def placed(x: Column, at: Column) -> Column:
+        start = at + F.length(x["g"])
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"))
+
+    both = F.filter(F.arrays_zip(found.alias("m"), between.alias("g")), lambda x: x["m"].isNotNull())
+    all_ = let(both, lambda v: F.zip_with(v, running(F.transform(v, lambda x: F.length(x["g"]) + F.length(x["m"]))), placed))
+    return F.when(text.rlike(pattern), F.filter(all_, lambda s: keep(s["m"])) if keep else all_).otherwise(F.array().cast(SPAN))
+
+
+def without(text: Column, pattern: str, keep=None) -> Column:
+    """The text with a kind's spans blanked, so that all else stays in its place."""
+    found, between = cut(text, pattern)
+    blank = lambda m: F.repeat(F.lit("\n"), F.length(m))
+    plain = lambda m: F.when(keep(m), blank(m)).otherwise(m) if keep else blank(m)
+    pieces = F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda g, m: F.concat(g, F.when(m == "", m).otherwise(plain(m))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
 
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
@@ -106,12 +155,12 @@ def random_like(text: Column, model: list[float], threshold: float) -> Column:
 def scan(docs: DataFrame, model: list[float], text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(doc_id, base, added): the spans of every row, as arrays of structs in order of start, then kind."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    plain = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_t"))
-    found = plain.select("doc_id", *[spans(F.col("_t"), *k).alias(k[0]) for k in KINDS], spans(F.col("_t"), "markov", CANDIDATE, mixed).alias("candidates"))
-    base = found.select("doc_id", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "candidates")
-    clear = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter(F.col("candidates"), lambda s: clear(s) & random_like(s["m"], model, threshold))
-    return base.select("doc_id", "base", F.when(F.size("candidates") > 0, added).otherwise(F.col("candidates")).alias("added"))
+    rest = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_t")).withColumn("_left", F.col("_t"))
+    for _, pattern, keep in KINDS:
+        rest = rest.withColumn("_left", without(F.col("_left"), pattern, keep))
+    found = rest.select("doc_id", *[spans(F.col("_t"), *k).alias(k[0]) for k in KINDS], spans(F.col("_left"), "markov", CANDIDATE, mixed).alias("candidates"))
+    added = F.filter("candidates", lambda s: random_like(s["m"], model, threshold))
+    return found.select("doc_id", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.when(F.size("candidates") > 0, added).otherwise(F.col("candidates")).alias("added"))
 
 
 def listed(found: Column) -> Column:
