@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import values as V
+from tessera.operators._plan import cut, mean_ranks
 
 FLAG, LEAST = 0.3, 5
 
@@ -60,9 +61,13 @@ def pearson(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """(by, rho, n): the correlation of mean ranks."""
-    r = df.select(*by, mean_rank(x, *by).alias("_x"), mean_rank(y, *by).alias("_y"))
-    return r.groupBy(*by).agg(pearson("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    """(by, rho, n): the correlation of mean ranks of the rows that have both; without `by`, ranks over all rows."""
+    rows = df.select(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy")).where("_vx IS NOT NULL AND _vy IS NOT NULL")
+    if by:
+        r = rows.select(*by, mean_rank("_vx", *by).alias("_x"), mean_rank("_vy", *by).alias("_y"))
+        return r.groupBy(*by).agg(pearson("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    r = rows.join(mean_ranks(rows, "_vx", "_x"), "_vx").join(mean_ranks(rows, "_vy", "_y"), "_vy")
+    return r.agg(pearson("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def length_bias(df: DataFrame, length: str, won: str, threshold: float = FLAG, least: int = LEAST) -> DataFrame:
@@ -75,33 +80,36 @@ def length_bias(df: DataFrame, length: str, won: str, threshold: float = FLAG, l
 def sign_test(wins: Column, losses: Column) -> Column:
     """Two-sided exact p of a fair coin, ties left out."""
     n, k = wins + losses, F.least(wins, losses)
-    logc = lambda i: F.aggregate(F.sequence(F.lit(1), i), F.lit(0.0), lambda a, j: a + F.log((n - j + 1) / j))
-    term = lambda i: F.exp(F.when(i == 0, 0.0).otherwise(logc(F.greatest(i, F.lit(1)))) - n * math.log(2))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda a, i: a + term(i))
+    # each term of the tail from the one before, by logarithms
+    start = F.struct((-n * math.log(2)).cast("double").alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda a, i: F.struct((a["log"] + F.log((n - i) / (i + 1))).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step)["sum"]
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
-def wilcoxon_p(a: list[float], b: list[float]) -> float | None:
-    """Two-sided p of the signed-rank test by the normal approximation with ties; none for under five pairs or no differences."""
-    d = [x - y for x, y in zip(a, b) if x != y]
-    if len(a) < LEAST or not d:
+def signed_rank_p(n: int, k: int, up: float, ties: float) -> float | None:
+    """Two-sided p of the signed-rank test by the normal approximation, of n pairs of which k differ, with the rank sum `up` of the
+    positive ones and the sum `ties` of t^3 - t; none for under five pairs or no differences."""
+    if n < LEAST or not k:
         return None
-    r = pd.Series([abs(x) for x in d]).rank()
-    up = float(r[[x > 0 for x in d]].sum())
-    n = len(d)
-    ties = r.value_counts()
-    var = n * (n + 1) * (2 * n + 1) / 24 - float(((ties**3) - ties).sum()) / 48
-    return math.erfc(abs(up - n * (n + 1) / 4) / math.sqrt(2 * var)) if var > 0 else 1.0
+    var = k * (k + 1) * (2 * k + 1) / 24 - ties / 48
+    return math.erfc(abs(up - k * (k + 1) / 4) / math.sqrt(2 * var)) if var > 0 else 1.0
 
 
 def wilcoxon(scores: DataFrame, first: str, second: str) -> DataFrame:
-    """(p, n) of two tools' scores (task, tool, score), paired by task; one row for each task reaches the last step."""
+    """(p, n) of two tools' scores (task, tool, score), paired by task: ranks and sums are relational, and the last step has one row."""
     wide = scores.where(F.col("tool").isin(first, second)).groupBy("task").agg(F.avg(F.when(F.col("tool") == first, F.col("score"))).alias("a"), F.avg(F.when(F.col("tool") == second, F.col("score"))).alias("b")).dropna()
+    wide = cut(wide.select((F.col("a") - F.col("b")).alias("d")))
+    moved = wide.where("d <> 0").select("d", F.abs("d").alias("size"))
+    ranked = moved.join(mean_ranks(moved, "size", "rank"), "size")
+    ties = moved.groupBy("size").count().agg(F.coalesce(F.sum(F.pow("count", F.lit(3)) - F.col("count")), F.lit(0.0)).alias("ties"))
+    sums = ranked.agg(F.count("*").alias("k"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("up"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p": [wilcoxon_p(pdf["a"].tolist(), pdf["b"].tolist())], "n": [len(pdf)]})
+    def p_of(batches):
+        for b in batches:
+            yield pd.DataFrame({"p": [signed_rank_p(*r) for r in b[["n", "k", "up", "ties"]].itertuples(index=False)], "n": b["n"]})
 
-    return wide.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "p double, n long")
+    return wide.agg(F.count("*").alias("n")).join(sums).join(ties).mapInPandas(p_of, "p double, n long")
 
 
 def verdict(ab: Column, ab_conf: Column, ba: Column, ba_conf: Column) -> tuple[Column, Column]:

@@ -28,7 +28,7 @@ def slug(*parts: str) -> str:
 
 class Rows:
     def __init__(self, path: str) -> None:
-        self.path, self.rows, self.known = path, [], set()
+        self.path, self.rows, self.known = path, [], {}
         self.stem = re.sub(r"\.[^.]*$", "", path)
         self.file = slug(path)
         self.node(self.file, path.rsplit("/", 1)[-1], 1, None)
@@ -36,10 +36,15 @@ class Rows:
     def add(self, **row) -> None:
         self.rows.append({"source_file": self.path, **row})
 
+    def ends(self, i: str | None, line: int) -> None:
+        """The node's last line."""
+        if i is not None:
+            self.known[i]["end_line"] = line
+
     def node(self, i: str, label: str, start: int, end: int | None, file_type: str = "code") -> str:
         if i not in self.known:
-            self.known.add(i)
             self.add(kind="node", id=i, label=label, file_type=file_type, start_line=start, end_line=end)
+            self.known[i] = self.rows[-1]
         return i
 
     def edge(self, source: str, target: str, relation: str, line: int) -> None:
@@ -150,13 +155,17 @@ def script_rows(path: str, text: str) -> list[dict]:
             i = named[name] = out.node(slug(out.stem, name), f"{name}()", at(m.start()), None)
             out.edge(out.file, i, "contains", at(m.start()))
             pending = (i, "function")
+            if m["arrow"] and not text[m.end() : m.end() + 200].lstrip().startswith("{"):  # an expression, without a block of its own
+                pending = None
+                stop = re.compile(r";|\n(?!\s*[.?:+)\]}])").search(text, m.end())
+                out.ends(i, at(stop.start() if stop else len(text)))
         elif m["open"]:
             depth += 1
             stack.append((pending[0] if pending else None, depth, pending[1] if pending else "block"))
             pending = None
         elif m["close"]:
             if stack:
-                stack.pop()
+                out.ends(stack.pop()[0], at(m.start()))
             depth = max(0, depth - 1)
         elif m["call"] and m["call"] not in NOT_CALLS:
             if inside and stack[-1] is inside and re.match(r"[^)]*\)\s*(?::[^{=;]+)?\{", text[m.end() : m.end() + 400]):

@@ -5,6 +5,8 @@ Nothing here collects a corpus: query terms are few and are broadcast (their num
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import values as V
+from tessera.operators._plan import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, DENSE_SHARE, SPARSE_SHARE = 60, 0.6, 0.4
@@ -22,48 +25,58 @@ MOST_TERMS = 10_000
 
 @dataclass
 class Postings:
-    """What BM25 needs of a corpus: postings (id, term, tf), documents (id, len), terms (term, idf)."""
+    """What BM25 needs of a corpus: postings (id, term, tf, len), terms (term, df, idf), and one row of totals (n, mean)."""
 
     postings: DataFrame
-    documents: DataFrame
     terms: DataFrame
+    totals: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables of a generation; postings by term, so that a query reads the files of its terms."""
+        return {"postings": self.postings.repartitionByRange("term").sortWithinPartitions("term"), "terms": self.terms.repartitionByRange("term").sortWithinPartitions("term"), "totals": self.totals}
 
 
 def postings(docs: DataFrame, key: str, text: str) -> Postings:
     """Counted once for a generation of the index; idf as ln(N - n + 0.5) - ln(n + 0.5), and a quarter of the mean idf
     of all terms where that is negative."""
-    words = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    documents = words.select("id", F.size("w").alias("len"))
-    post = words.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = documents.agg(F.count("*").alias("n"))
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
-    return Postings(post, documents, raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")))
+    words = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
+    post = cut(words.select("id", "len", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    totals = cut(docs.agg(F.count("*").alias("n")).join(post.agg(F.sum("tf").alias("all"))).select("n", F.try_divide(F.col("all"), F.col("n")).alias("mean")))
+    raw = cut(post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    floor = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
+    return Postings(post, raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")), totals)
 
 
 def bm25(index: Postings, query: str, k: int | None = None) -> DataFrame:
-    """(id, score) of documents with a positive score, best first; a term that the query repeats counts as often."""
+    """(id, score) of documents with a positive score, best first; a term that the query repeats counts as often. Only the
+    postings of the query's terms are read."""
     spark = index.postings.sparkSession
-    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(T.tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    if asked.count() > MOST_TERMS:
+    asked = Counter(re.findall(r"[a-z0-9_]+", query.lower()))
+    if len(asked) > MOST_TERMS:
         raise ValueError(f"a query has over {MOST_TERMS} different terms")
-    hit = index.postings.join(F.broadcast(asked), "term").join(F.broadcast(index.terms.join(F.broadcast(asked.select("term")), "term")), "term")
-    mean = index.documents.agg(F.avg("len").alias("mean"))
-    scored = hit.join(index.documents, "id").join(F.broadcast(mean))
+    times = spark.createDataFrame(list(asked.items()), "term string, times long")
+    # the terms in the filter too, where they are few, for the files' statistics
+    wanted = (lambda d: d.where(F.col("term").isin(list(asked)))) if len(asked) <= 200 else (lambda d: d)
+    terms = wanted(index.terms).join(F.broadcast(times), "term").select("term", "times", "idf")
+    scored = wanted(index.postings).join(F.broadcast(terms), "term").join(F.broadcast(index.totals))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     out = scored.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
     return out.orderBy(F.desc("score"), "id").limit(k) if k else out
 
 
-def dense(vectors: DataFrame, query: list[float] | DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", where: Column | None = None) -> DataFrame:
-    """(id, distance) of the k vectors nearest by cosine, exactly; `where` filters before."""
-    rows = vectors if where is None else vectors.where(where)
+def distances(vectors: DataFrame, query: list[float] | DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, distance) of every vector by cosine."""
     if isinstance(query, DataFrame):
-        rows = rows.join(F.broadcast(query.select(F.col(embedding).alias("_q")).limit(1)))
+        vectors = vectors.join(F.broadcast(query.select(F.col(embedding).alias("_q")).limit(1)))
         other = F.col("_q")
     else:
         other = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(F.col(key).alias("id"), (1 - V.cosine(F.col(embedding), other)).alias("distance")).orderBy("distance", "id").limit(k)
+    return vectors.select(F.col(key).alias("id"), (1 - V.cosine(F.col(embedding), other)).alias("distance"))
+
+
+def dense(vectors: DataFrame, query: list[float] | DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", where: Column | None = None) -> DataFrame:
+    """(id, distance) of the k vectors nearest by cosine, exactly; `where` filters before."""
+    return distances(vectors if where is None else vectors.where(where), query, key, embedding).orderBy("distance", "id").limit(k)
 
 
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -159,23 +172,23 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
     """
     from tessera.operators import traverse
 
-    near = ranked(dense(vectors, query_vector, top_k, key="id"), "distance", "id").cache()
+    near = cut(ranked(dense(vectors, query_vector, top_k, key="id"), "distance", "id"))
     places = chunks.select("id", "path", "start_line", "end_line")
-    found = ranked(bm25(index or postings(chunks, "id", "content"), query, 5 * top_k).join(places.select("id", "path"), "id"), F.desc("score"), "id").cache()
+    found = cut(ranked(bm25(index or postings(chunks, "id", "content"), query, 5 * top_k).join(places.select("id", "path"), "id"), F.desc("score"), "id"))
     if not found.limit(1).count():
         chosen = near.select("id", (F.col("rank") + 1).alias("ordinal"))
     else:
         chosen = candidates(near, found, top_k)
     best = found.agg(F.max("score").alias("best"))
     hits = chosen.join(near.select("id", "distance"), "id", "left").join(found.select("id", "score"), "id", "left").join(F.broadcast(best))
-    hits = hits.select("id", "ordinal", F.when(F.col("distance").isNotNull(), "vector").otherwise("sparse").alias("provenance"), F.coalesce("distance", sparse_distance(F.col("score"), F.col("best"))).alias("distance"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("graph_path")).cache()
+    hits = cut(hits.select("id", "ordinal", F.when(F.col("distance").isNotNull(), "vector").otherwise("sparse").alias("provenance"), F.coalesce("distance", sparse_distance(F.col("score"), F.col("best"))).alias("distance"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("graph_path")))
     out = hits
     if nodes is not None and pairs is not None:
         by_node = pairs.select(F.col("node"), F.col("chunk").alias("id")).join(F.broadcast(hits.select("id", "ordinal", "distance")), "id")
-        seeds = by_node.groupBy("node").agg(F.min("ordinal").alias("rank"), F.min_by("distance", "ordinal").alias("seed_distance"))
+        seeds = cut(by_node.groupBy("node").agg(F.min("ordinal").alias("rank"), F.min_by("distance", "ordinal").alias("seed_distance")))
         if seeds.limit(1).count():
             shown = hits.select("id", "ordinal").join(pairs.select(F.col("chunk").alias("id"), "node").join(nodes.select(F.col("id").alias("node"), "community"), "node"), "id")
-            main = dominant(shown.groupBy("id", "ordinal").agg(F.array_sort(F.collect_set("community")).alias("community_ids")).where(F.col("id").isin([r["id"] for r in hits.where("provenance = 'vector'").select("id").collect()])))
+            main = dominant(shown.groupBy("id", "ordinal").agg(F.array_sort(F.collect_set("community")).alias("community_ids")).join(hits.where("provenance = 'vector'").select("id"), "id", "left_semi"))
             weights = traverse.edge_weight(traverse.weights_for(query), [r[0] for r in main.collect()])
             c = nodes.select("id", "community")
             weighed = edges.join(c.withColumnRenamed("id", "source").withColumnRenamed("community", "c_source"), "source").join(c.withColumnRenamed("id", "target").withColumnRenamed("community", "c_target"), "target").withColumn("w", F.coalesce(weights, F.lit(0.0)))

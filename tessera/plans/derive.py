@@ -17,15 +17,13 @@ UNION ALL SELECT 'n_' || CAST(n_nationkey AS STRING), n_name, 'nation/n_' || CAS
 UNION ALL SELECT 's_' || CAST(s_suppkey AS STRING), s_name, 'supplier/n_' || CAST(s_nationkey AS STRING) || '.ts', 1000 + s_suppkey, CAST(s_nationkey % 5 AS BIGINT) FROM {supplier}
 UNION ALL SELECT 'p_' || CAST(p_partkey AS STRING), p_name, 'part/' || p_brand || '.md', 10000000 + p_partkey, CAST(p_partkey % 5 AS BIGINT) FROM {part}
 UNION ALL SELECT 'c_' || CAST(c_custkey AS STRING), c_name, 'customer/n_' || CAST(c_nationkey AS STRING) || '.py', 2000000000 + c_custkey, CAST(c_nationkey % 5 AS BIGINT) FROM {customer}"""
-#: Edges with a total order: every column of lineitem, as its keys repeat.
-EDGES = """SELECT source, target, relation, confidence, score AS confidence_score, CAST(row_number() OVER (ORDER BY source, target, relation, confidence, score, tie) AS BIGINT) AS seq FROM (
-SELECT 'r_' || CAST(n_regionkey AS STRING) AS source, 'n_' || CAST(n_nationkey AS STRING) AS target, 'contains' AS relation, 'EXTRACTED' AS confidence, CAST(1.0 AS DOUBLE) AS score, '' AS tie FROM {nation}
-UNION ALL SELECT 'n_' || CAST(c_nationkey AS STRING), 'c_' || CAST(c_custkey AS STRING), 'method', 'EXTRACTED', CAST(1.0 AS DOUBLE), '' FROM {customer}
-UNION ALL SELECT 'n_' || CAST(s_nationkey AS STRING), 's_' || CAST(s_suppkey AS STRING), 'method', 'EXTRACTED', CAST(1.0 AS DOUBLE), '' FROM {supplier}
+#: Edges of every row. `seq` orders the edges of one pair of ends: rows that have it alike are alike. `mark` is a number of each.
+EDGES = """SELECT source, target, relation, confidence, score AS confidence_score, mark, confidence || lpad(CAST(CAST(round(score * 100) AS INT) AS STRING), 3, '0') || tie AS seq FROM (
+SELECT 'r_' || CAST(n_regionkey AS STRING) AS source, 'n_' || CAST(n_nationkey AS STRING) AS target, 'contains' AS relation, 'EXTRACTED' AS confidence, CAST(1.0 AS DOUBLE) AS score, '' AS tie, CAST(n_nationkey AS BIGINT) AS mark FROM {nation}
+UNION ALL SELECT 'n_' || CAST(c_nationkey AS STRING), 'c_' || CAST(c_custkey AS STRING), 'method', 'EXTRACTED', CAST(1.0 AS DOUBLE), '', CAST(c_custkey AS BIGINT) FROM {customer}
+UNION ALL SELECT 'n_' || CAST(s_nationkey AS STRING), 's_' || CAST(s_suppkey AS STRING), 'method', 'EXTRACTED', CAST(1.0 AS DOUBLE), '', CAST(s_suppkey AS BIGINT) FROM {supplier}
 UNION ALL SELECT 's_' || CAST(l_suppkey AS STRING), 'p_' || CAST(l_partkey AS STRING), 'calls', CASE l_returnflag WHEN 'N' THEN 'EXTRACTED' WHEN 'A' THEN 'INFERRED' ELSE 'AMBIGUOUS' END,
-  1.0 - CAST(CAST(round(l_discount * 100) AS INT) AS DOUBLE) / 100, CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(CAST(l_quantity AS INT) AS STRING) FROM {lineitem} WHERE l_partkey % 4 = 0) x"""
-#: The rows of EDGES before they are numbered, of every row of lineitem: for the queries that no SQL is compared with.
-WHOLE = "SELECT source, target, relation, confidence, score AS confidence_score, tie FROM (" + EDGES.split(" FROM (\n", 1)[1].replace(" WHERE l_partkey % 4 = 0", "")
+  1.0 - CAST(CAST(round(l_discount * 100) AS INT) AS DOUBLE) / 100, CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(CAST(l_quantity AS INT) AS STRING), CAST(l_orderkey AS BIGINT) FROM {lineitem}) x"""
 #: The same edges, one for each pair of ends.
 SIMPLE = f"""SELECT least(source, target) AS lo, greatest(source, target) AS hi, max_by(relation, seq) AS relation, max_by(confidence, seq) AS confidence, max_by(confidence_score, seq) AS confidence_score,
   max_by(source, seq) AS source, max_by(target, seq) AS target, count(*) AS n, max(seq) AS seq FROM ({EDGES}) e GROUP BY 1, 2"""
@@ -66,18 +64,6 @@ class Tables:
     def edges(self) -> DataFrame:
         return self.sql(EDGES)
 
-    @cached_property
-    def whole_edges(self) -> DataFrame:
-        """Every edge, those too that EDGES leaves out; `seq` is what EDGES orders by, and not a count, so no task takes all rows."""
-        order = F.struct("source", "target", "relation", "confidence", F.col("confidence_score").alias("score"), "tie")
-        return self.sql(WHOLE).withColumn("seq", order).drop("tie")
-
-    @cached_property
-    def whole_simple(self) -> DataFrame:
-        from tessera.operators.graph import collapse_edges
-
-        return collapse_edges(self.whole_edges, ["relation", "confidence", "confidence_score"])
-
     @cached_property
     def simple(self) -> DataFrame:
         from tessera.operators.graph import collapse_edges

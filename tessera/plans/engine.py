@@ -13,16 +13,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import errors as E
 from tessera.functions import text as T
 from tessera.functions import values as V
 from tessera.operators import chunking, community, extract, graph, incremental, retrieval
+from tessera.operators._plan import cut
 from tessera.sources import files as sources
 from tessera.sources.store import Store
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 STAGES = ("detect", "extract", "build", "chunk", "map", "cluster", "embed", "publish")
 
 
@@ -42,13 +43,19 @@ def hashed_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
 def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]] = hashed_embedding, batch: int = 50, depth: int = 3) -> DataFrame:
     """(vector_id, embedding) of chunks (vector_id, content) that hold text, in batches.
 
-    If embed_fn raises ValueError (a text too long), a batch is halved, and a single text is cut in two up to `depth` times and
-    its vectors averaged by length; a text that still fails is left out."""
+    Limits of the rate are waited out and passing failures tried again. If a text is too long (a ValueError, or what a service
+    says so by), a batch is halved, and a single text is cut in two up to `depth` times and its vectors averaged by
+    length; a text that still fails is left out. Any other error ends the build."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        return E.with_retries(lambda: list(embed_fn(texts)))
 
     def one(text: str, left: int) -> list[float] | None:
         try:
-            return embed_fn([text])[0]
-        except ValueError:
+            return ask([text])[0]
+        except Exception as e:
+            if not E.too_long(e):
+                raise
             if not left or len(text) < 2:
                 return None
         middle = len(text) // 2
@@ -60,8 +67,10 @@ def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]]
 
     def many(texts: list[str]) -> list[list[float] | None]:
         try:
-            return list(embed_fn(texts))
-        except ValueError:
+            return ask(texts)
+        except Exception as e:
+            if not E.too_long(e):
+                raise
             if len(texts) == 1:
                 return [one(texts[0], depth)]
         half = len(texts) // 2
@@ -106,27 +115,28 @@ class Engine:
         if mode == "same" and commit:
             return self.store.current(slug)["generation"]
         found = self._stage("detect", lambda: sources.scan(self.spark, root, sources.ignore_patterns(root)))
-        found = found.withColumn("file_hash", V.content_hash(F.col("text")))
-        rows = self._stage("extract", extract.extract, found.where("kind = 'code'"))
-        nodes, edges = self._stage("build", self._graph, rows)
-        chunks = self._stage("chunk", lambda f: chunking.linear(f, self.chunk_size, self.overlap, keep=("file_hash",)), found)
+        # what several tables are made of is worked out once
+        found = cut(found.withColumn("file_hash", V.content_hash(F.col("text"))))
+        rows = cut(self._stage("extract", extract.extract, found.where("kind = 'code'")))
+        nodes, edges = map(cut, self._stage("build", self._graph, rows))
+        chunks = cut(self._stage("chunk", lambda f: chunking.linear(f, self.chunk_size, self.overlap, keep=("file_hash",)), found))
         pairs = self._stage("map", graph.node_chunks, nodes, chunks)
-        groups = self._stage("cluster", community.louvain, nodes, edges)
+        groups = self._stage("cluster", community.communities, nodes, edges)
         nodes = nodes.join(groups, "id", "left")
         vectors = self._stage("embed", self._vectors, slug, chunks, mode)
+        index = retrieval.postings(chunks.select(F.col("vector_id").alias("id"), "content").dropDuplicates(["id"]), "id", "content").tables()
         if self.progress:
             self.progress("publish", 95)
-        tables = {"files": found.select("path", "kind", "bytes", "file_hash"), "nodes": nodes, "edges": edges, "chunks": chunks, "pairs": pairs, "vectors": vectors}
+        tables = {"files": found.select("path", "kind", "bytes", "file_hash"), "nodes": nodes, "edges": edges, "chunks": chunks, "pairs": pairs, "vectors": vectors, **index}
         return self.store.publish(slug, tables, {"schema": SCHEMA_VERSION, "fingerprint": self.settings(), "branch": branch, "commit": commit, "root": root})
 
     def _graph(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        order = F.row_number().over(W.partitionBy("source_file").orderBy("seq"))
-        seq = F.xxhash64("source_file").bitwiseAND((1 << 40) - 1) * (1 << 20) + order
-        rows = rows.withColumn("seq", seq)
+        # files in the order of their paths, rows in the order of their files: the last of them wins
+        rows = rows.withColumn("seq", F.struct("source_file", "seq"))
         nodes = graph.merge_nodes(rows.where("kind = 'node'"), ["label", "file_type", "source_file", "start_line", "end_line"])
         plain = rows.where("kind = 'edge'").select("source", "target", "relation", F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"), "source_file")
         every = plain.unionByName(extract.link_bases(rows)).unionByName(extract.link_imports(rows)).unionByName(extract.link_calls(rows))
-        every = every.withColumn("seq", F.xxhash64("source", "target", "relation"))
+        every = every.withColumn("seq", F.struct("source_file", "confidence", "relation", "source"))
         kept = graph.without_dangling(every, nodes)
         return nodes, graph.collapse_edges(kept, ["relation", "confidence", "confidence_score", "source_file"]).withColumn("seq", F.xxhash64("lo", "hi"))
 
@@ -146,12 +156,13 @@ class Engine:
         vector, out = self.embed_fn([query])[0], None
         for slug in self.store.slugs(slugs):
             try:
-                t = {n: self.store.read(slug, n) for n in ("nodes", "edges", "chunks", "pairs", "vectors")}
+                t = {n: self.store.read(slug, n) for n in ("nodes", "edges", "chunks", "pairs", "vectors", "postings", "terms", "totals")}
             except FileNotFoundError:
                 continue
             hits = retrieval.hybrid(
                 t["chunks"].select(F.col("vector_id").alias("id"), "path", "start_line", "end_line", "content"), t["vectors"].select(F.col("vector_id").alias("id"), "embedding"), query, vector,
                 nodes=t["nodes"], edges=t["edges"], pairs=t["pairs"].select(F.col("id").alias("node"), F.col("vector_id").alias("chunk")), top_k=each, depth=depth,
+                index=retrieval.Postings(t["postings"], t["terms"], t["totals"]),
             ).withColumn("slug", F.lit(slug))
             out = hits if out is None else out.unionByName(hits)
         if out is None:

@@ -31,26 +31,26 @@ def edge_collapse(t: Tables) -> DataFrame:
     return graph.collapse_edges(t.edges, ATTRS).select("lo", "hi", "source", "target", "relation", "confidence", r6("confidence_score"), "n")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, missing FROM (SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'source' END AS missing FROM {lineitem} WHERE l_partkey % 4 = 0 AND l_suppkey % 5 = 0 UNION ALL SELECT 'source' FROM {nation} WHERE FALSE UNION ALL SELECT 'target' FROM {supplier} WHERE s_suppkey % 5 = 0) x GROUP BY 2")
+@query(f"SELECT source, target, 'source' AS missing FROM ({EDGES}) e WHERE source LIKE 's%' AND CAST(substr(source, 3) AS BIGINT) % 5 = 0 UNION ALL SELECT source, target, 'target' FROM ({EDGES}) e WHERE target LIKE 's%' AND CAST(substr(target, 3) AS BIGINT) % 5 = 0")
 def dangling_edges(t: Tables) -> DataFrame:
     gone = t.nodes.where("NOT (id LIKE 's%' AND CAST(substr(id, 3) AS BIGINT) % 5 = 0)")
-    return graph.dangling(t.edges, gone).groupBy("missing").agg(F.count("*").alias("n"))
+    return graph.dangling(t.edges, gone)
 
 
-@query(f"SELECT kind, problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'node' AS kind, 'missing field' AS problem FROM ({NODES}) n WHERE seq % 50 = 0 UNION ALL SELECT 'node', 'file type' FROM ({NODES}) n WHERE seq % 70 = 0 UNION ALL SELECT 'edge', 'score' FROM ({EDGES}) e WHERE seq % 90 = 0 UNION ALL SELECT 'edge', 'confidence' FROM ({EDGES}) e WHERE seq % 110 = 0) x GROUP BY 1, 2")
+@query(f"SELECT 'node' AS kind, id AS key, 'missing field' AS problem FROM ({NODES}) n WHERE seq % 50 = 0 UNION ALL SELECT 'node', id, 'file type' FROM ({NODES}) n WHERE seq % 70 = 0 UNION ALL SELECT 'edge', source || '>' || target, 'score' FROM ({EDGES}) e WHERE mark % 90 = 0 UNION ALL SELECT 'edge', source || '>' || target, 'confidence' FROM ({EDGES}) e WHERE mark % 110 = 0")
 def extraction_violations(t: Tables) -> DataFrame:
-    s = F.col("seq")
+    s, m = F.col("seq"), F.col("mark")
     nodes = t.nodes.withColumn("label", F.when(s % 50 != 0, F.col("label"))).withColumn("file_type", F.when(s % 70 == 0, "sound").otherwise("code"))
-    edges = t.edges.withColumn("confidence_score", F.when(s % 90 == 0, 1.5).otherwise(F.col("confidence_score"))).withColumn("confidence", F.when(s % 110 == 0, "SURE").otherwise(F.col("confidence")))
-    return graph.violations(nodes, edges).groupBy("kind", "problem").agg(F.count("*").alias("n"))
+    edges = t.edges.withColumn("confidence_score", F.when(m % 90 == 0, 1.5).otherwise(F.col("confidence_score"))).withColumn("confidence", F.when(m % 110 == 0, "SURE").otherwise(F.col("confidence")))
+    return graph.violations(nodes, edges)
 
 
-@query(f"SELECT count(*) AS n, count(DISTINCT target) AS targets FROM ({EDGES}) e WHERE relation = 'calls'")
+@query(f"SELECT source, target, confidence, CAST(count(*) AS BIGINT) AS n FROM ({EDGES}) e WHERE relation = 'calls' GROUP BY 1, 2, 3")
 def fuzzy_ids(t: Tables) -> DataFrame:
     """Ends written otherwise (S-12 for s_12) find their node again."""
     e = t.edges.where("relation = 'calls'").withColumn("source", F.upper(F.replace("source", F.lit("_"), F.lit("-"))))
     ok = graph.without_dangling(graph.remap_ends(e, t.nodes), t.nodes)
-    return ok.agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets"))
+    return ok.groupBy("source", "target", "confidence").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT id, label, CAST(degree AS BIGINT) AS degree FROM (SELECT n.id, n.label, d.degree, n.seq FROM ({NODES}) n JOIN ({DEGREE}) d ON n.id = d.id WHERE NOT contains(n.label, '/')) x ORDER BY degree DESC, seq LIMIT 10")
@@ -71,9 +71,9 @@ def entities(t: Tables) -> DataFrame:
 _PAIRS = f"SELECT id, label, community, doc_id, vector_id FROM (SELECT doc_id, 'e' || CAST(doc_id AS STRING) AS id, source AS label, doc_id % 3 AS community, path, 1 + doc_id % 4 AS s, 6 + doc_id % 4 AS e FROM ({FILES}) f) n JOIN (SELECT path, start_line, end_line, sha256(concat_ws(chr(0), path, CAST(start_line AS STRING), CAST(end_line AS STRING), sha256(content))) AS vector_id FROM ({CHUNKS}) c0) c USING (path) WHERE s <= end_line AND e >= start_line"
 
 
-@query(f"SELECT vector_id AS chunk_id, CAST(count(DISTINCT id) AS BIGINT) AS n, min(id) AS first FROM ({_PAIRS}) p GROUP BY 1")
+@query(f"SELECT vector_id AS chunk_id, list_sort(list(DISTINCT id)) AS ids FROM ({_PAIRS}) p GROUP BY 1")
 def reverse_index(t: Tables) -> DataFrame:
-    return graph.reverse_index(graph.node_chunks(entities(t), t.chunks)).select("chunk_id", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"))
+    return graph.reverse_index(graph.node_chunks(entities(t), t.chunks))
 
 
 @query(f"SELECT vector_id, string_agg(label, '|' ORDER BY doc_id) AS labels, min(community) AS community FROM ({_PAIRS}) p GROUP BY 1")
@@ -82,11 +82,14 @@ def chunk_metadata(t: Tables) -> DataFrame:
     return m.select("vector_id", F.array_join("labels", "|").alias("labels"), F.col("communities")[0].alias("community"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS kept, CAST(min(p_partkey) AS BIGINT) AS first FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM {part} GROUP BY 1) x")
+#: Parts whose names repeat: two names for each brand and size, in either case and with marks.
+_TWICE = "SELECT 'p_' || lpad(CAST(p_partkey AS STRING), 8, '0') AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) || '!' ELSE lower(p_brand) END || ' ' || CAST(p_size AS STRING) AS label, CAST(p_partkey AS BIGINT) AS seq FROM {part}"
+
+
+@query(f"SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(label), '[^a-z0-9 ]', '', 'g') ORDER BY seq, label) AS r FROM ({_TWICE}) t) x WHERE r = 1")
 def label_dedup(t: Tables) -> DataFrame:
-    p = t.part.select(F.format_string("p_%08d", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_partkey").alias("seq"))
-    kept, _, _ = graph.dedup_labels(p, t.simple.select("source", "target"))
-    return kept.agg(F.count("*").alias("kept"), F.min(F.substring("id", 3, 20).cast("long")).alias("first"))
+    kept, _, _ = graph.dedup_labels(t.sql(_TWICE), t.simple.select("source", "target"))
+    return kept.select("id", "label")
 
 
 _OLD = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem} WHERE l_linestatus = 'F'"
@@ -113,9 +116,9 @@ def cohesion_by_community(t: Tables) -> DataFrame:
     return analyze.cohesion(t.nodes, t.simple)
 
 
-@query(f"SELECT community, CAST(count(*) AS BIGINT) AS n, min(id) AS first FROM ({NODES}) x GROUP BY 1")
+@query(f"SELECT community, list_sort(list(id)) AS ids FROM ({NODES}) x GROUP BY 1")
 def community_members(t: Tables) -> DataFrame:
-    return analyze.members(t.nodes).select("community", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"))
+    return analyze.members(t.nodes)
 
 
 _ENDS = f"SELECT e.source, e.target, e.relation, e.confidence, a.source_file AS uf, b.source_file AS vf, a.community AS uc, b.community AS vc, a.label AS ul, b.label AS vl, da.degree AS ud, db.degree AS vd FROM ({SIMPLE}) e JOIN ({NODES}) a ON e.source = a.id JOIN ({NODES}) b ON e.target = b.id JOIN ({DEGREE}) da ON da.id = a.id JOIN ({DEGREE}) db ON db.id = b.id"
@@ -152,15 +155,15 @@ def weighed(edges: DataFrame) -> DataFrame:
     return edges.withColumn("w", traverse.edge_weight(C.RELATION_WEIGHTS)).withColumn("seq", F.xxhash64("lo", "hi"))
 
 
-@query(f"WITH e AS (SELECT source AS a, target AS b, {WEIGHT} AS w FROM ({SIMPLE}) s UNION ALL SELECT target, source, {WEIGHT} FROM ({SIMPLE}) s), h1 AS (SELECT b AS id, w FROM e WHERE a = 's_1'), h2 AS (SELECT e.b AS id, h1.w + e.w AS w FROM h1 JOIN e ON e.a = h1.id WHERE e.b <> 's_1'), best AS (SELECT id, max(w) AS weight FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) x WHERE id <> 's_1' GROUP BY 1) SELECT round(weight, 6) AS weight FROM best ORDER BY best.weight DESC LIMIT 50")
+@query(f"WITH e AS (SELECT source AS a, target AS b, {WEIGHT} AS w FROM ({SIMPLE}) s UNION ALL SELECT target, source, {WEIGHT} FROM ({SIMPLE}) s), h1 AS (SELECT b AS id, w, ['s_1', b] AS path FROM e WHERE a = 's_1'), h2 AS (SELECT e.b AS id, h1.w + e.w AS w, ['s_1', h1.id, e.b] AS path FROM h1 JOIN e ON e.a = h1.id WHERE e.b <> 's_1'), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, path DESC) AS r FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) x WHERE id <> 's_1') SELECT id, round(w, 6) AS weight, path FROM best WHERE r = 1 ORDER BY best.w DESC, id LIMIT 50")
 def expand_bounded(t: Tables) -> DataFrame:
-    return traverse.expand_bounded(weighed(t.simple), t.nodes.where("id = 's_1'").select("id")).select(r6("weight"))
+    return traverse.expand_bounded(weighed(t.simple), t.nodes.where("id = 's_1'").select("id")).select("id", r6("weight"), "path")
 
 
 @query()
 def expand_greedy(t: Tables) -> DataFrame:
     seeds = t.nodes.where("id IN ('s_1', 's_2', 'n_3')").select(F.when(F.col("id") == "n_3", 1).otherwise(0).alias("query_id"), "id", F.lit(0).alias("rank"))
-    return traverse.expand_greedy(weighed(t.whole_simple), t.nodes, seeds)
+    return traverse.expand_greedy(weighed(t.simple), t.nodes, seeds)
 
 
 @query(f"SELECT o_orderkey, CAST(count(*) AS BIGINT) AS members FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey GROUP BY 1")
@@ -172,30 +175,43 @@ def hyperedge_members(t: Tables) -> DataFrame:
 
 @query()
 def louvain(t: Tables) -> DataFrame:
-    return community.louvain(t.nodes, t.whole_simple)
+    return community.louvain(t.nodes, t.simple)
 
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return community.betweenness(t.nodes, t.whole_simple)
+    return community.betweenness(t.nodes, t.simple)
 
 
 @query()
 def label_propagation(t: Tables) -> DataFrame:
-    return community.label_propagation(t.nodes, t.whole_simple)
+    return community.label_propagation(t.nodes, t.simple)
 
 
 @query()
 def graph_questions(t: Tables) -> DataFrame:
-    return analyze.questions(t.nodes, t.whole_simple)
+    return analyze.questions(t.nodes, t.simple)
 
 
-@query()
+#: Code of each document: as many functions as its number says, each of which calls the next.
+_CALLED = "SELECT path, CASE WHEN path LIKE '%.py' THEN 'py' ELSE 'js' END AS kind, unnest(range(0, CAST(doc_id % 4 + 1 AS BIGINT))) AS k, doc_id % 4 AS last FROM (" + FILES + ") f WHERE doc_id % 5 < 2"
+_STEM = "lower(regexp_replace(regexp_replace(path, '[.][^.]*$', ''), '[^0-9A-Za-z]+', '_', 'g')) || '_f'"
+
+
+def coded(t: Tables) -> DataFrame:
+    n = F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int"))
+    body = lambda k: F.when(k == F.col("doc_id") % 4, F.lit("1")).otherwise(F.concat(F.lit("f"), (k + 1).cast("string"), F.lit("()")))
+    py = lambda k: F.concat(F.lit("def f"), k.cast("string"), F.lit("():\n    x = 1\n    return "), body(k), F.lit("\n"))
+    js = lambda k: F.concat(F.lit("function f"), k.cast("string"), F.lit("() {\n  return "), body(k), F.lit(";\n}\n"))
+    code = F.when(F.col("path").endswith(".py"), F.array_join(F.transform(n, py), "")).when(F.col("path").endswith(".js"), F.array_join(F.transform(n, js), "")).otherwise(F.col("text"))
+    return t.files.select("path", code.alias("text"))
+
+
+@query(f"SELECT {_STEM} || CAST(k AS STRING) AS id, 'f' || CAST(k AS STRING) || '()' AS label, path AS source_file, CAST(3 * k + 1 AS BIGINT) AS start_line, CAST(3 * k + 3 AS BIGINT) AS end_line FROM ({_CALLED}) c UNION ALL SELECT lower(regexp_replace(path, '[^0-9A-Za-z]+', '_', 'g')), split_part(path, '/', -1), path, 1, NULL FROM ({FILES}) f WHERE doc_id % 5 < 2")
 def extract_entities(t: Tables) -> DataFrame:
-    code = F.concat(F.lit("class D"), F.col("doc_id"), F.lit(":\n    def run(self):\n        return helper()\n\ndef helper():\n    return 1\n"))
-    return extract.extract(t.files.select("path", code.alias("text")))
+    return extract.extract(coded(t)).where("kind = 'node'").select("id", "label", "source_file", *big("start_line", "end_line"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, 'calls' AS relation FROM {documents} WHERE doc_id % 5 = 0")
+@query(f"SELECT {_STEM} || CAST(k AS STRING) AS source, {_STEM} || CAST(k + 1 AS STRING) AS target, path AS source_file, CASE kind WHEN 'py' THEN CAST(3 * k + 3 AS BIGINT) ELSE CAST(3 * k + 2 AS BIGINT) END AS line FROM ({_CALLED}) c WHERE k < last")
 def extract_calls(t: Tables) -> DataFrame:
-    return extract_entities(t).where("kind = 'edge' AND relation = 'calls' AND source_file LIKE '%.py'").groupBy("relation").agg(F.count("*").alias("n"))
+    return extract.extract(coded(t)).where("kind = 'edge' AND relation = 'calls'").select("source", "target", "source_file", F.col("start_line").cast("long").alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, retrieval
+from tessera.operators._plan import cut
 from tessera.plans.derive import FILES, Tables, big, query, r6
 from tessera.plans.engine import hashed_embedding
 
@@ -95,7 +96,7 @@ def relevance_rank(t: Tables) -> DataFrame:
 
 @query(f"SELECT slug, id, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY relevance DESC, distance, id) AS r FROM (SELECT CAST(label AS STRING) AS slug, id, distance, 1 - least(1.0, greatest(0.0, distance)) AS relevance FROM ({DENSE}) d) x) y WHERE r <= 5 ORDER BY y.relevance DESC, distance, id LIMIT 20")
 def multi_source_topk(t: Tables) -> DataFrame:
-    hits = retrieval.dense(t.embeddings, probe(t), t.embeddings.count()).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
+    hits = retrieval.distances(t.embeddings, probe(t)).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
     hits = hits.select(F.col("label").cast("string").alias("slug"), "id", "distance", retrieval.relevance(F.lit("vector"), F.col("distance"), F.lit(None).cast("double")).alias("relevance"))
     return retrieval.top_by_slug(hits, 5, 20).select("slug", "id", r6("relevance"))
 
@@ -107,9 +108,9 @@ def dominant_communities(t: Tables) -> DataFrame:
     return retrieval.dominant(hits)
 
 
-@query("SELECT label AS id, i, round(sum(x * w) / sum(w), 6) AS x FROM (SELECT label, vec_id % 3 + 1 AS w, unnest(range(0, 4)) AS i, unnest(CAST(embedding AS DOUBLE[])[1:4]) AS x FROM {embeddings}) y GROUP BY 1, 2")
+@query("SELECT label AS id, i, round(sum(x * w) / sum(w), 6) AS x FROM (SELECT label, vec_id % 3 + 1 AS w, unnest(range(0, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM {embeddings}) y GROUP BY 1, 2")
 def vector_merge(t: Tables) -> DataFrame:
-    parts = t.embeddings.select(F.col("label").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("embedding"), (F.col("vec_id") % 3 + 1).alias("length"))
+    parts = t.embeddings.select(F.col("label").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id") % 3 + 1).alias("length"))
     return retrieval.merged_vectors(parts).select("id", F.posexplode("embedding").alias("i", "x")).select("id", *big("i"), r6("x"))
 
 
@@ -126,13 +127,13 @@ def hybrid_search(t: Tables) -> DataFrame:
     from tessera.operators import graph
     from tessera.plans.engine import embed
 
-    chunks = t.chunks.withColumnRenamed("path", "file").select(F.col("vector_id").alias("id"), F.col("file").alias("path"), "start_line", "end_line", "content", "vector_id")
+    chunks = cut(t.chunks).withColumnRenamed("path", "file").select(F.col("vector_id").alias("id"), F.col("file").alias("path"), "start_line", "end_line", "content", "vector_id")
     vectors = embed(chunks.select("vector_id", "content")).select(F.col("vector_id").alias("id"), "embedding")
     d = t.files
     nodes = d.select(F.concat(F.lit("d_"), F.col("doc_id")).alias("id"), F.col("path").alias("label"), F.col("path").alias("source_file"), F.lit(1).alias("start_line"), F.lit(1000).alias("end_line"), (F.col("doc_id") % 5).cast("int").alias("community"))
     near = d.select(F.concat(F.lit("d_"), F.col("doc_id")).alias("source"), F.concat(F.lit("d_"), F.col("doc_id") + 1).alias("target"), F.lit("calls").alias("relation"), F.lit(0.9).alias("confidence_score"), F.col("doc_id").alias("seq"))
     edges = graph.without_dangling(near, nodes)
-    pairs = graph.node_chunks(nodes, t.chunks).select(F.col("id").alias("node"), F.col("vector_id").alias("chunk"))
+    pairs = graph.node_chunks(nodes, chunks.select(F.col("path"), "start_line", "end_line", "vector_id", F.lit("").alias("hash"))).select(F.col("id").alias("node"), F.col("vector_id").alias("chunk"))
     q = question(t)
     return retrieval.hybrid(chunks.drop("vector_id"), vectors, q, hashed_embedding([q])[0], nodes=nodes, edges=edges, pairs=pairs)
 
@@ -178,9 +179,9 @@ def spearman_length_win(t: Tables) -> DataFrame:
     return b.select(r6("rho"), "n", "flagged")
 
 
-@query("SELECT CAST(k AS BIGINT) AS wins, CAST(m AS BIGINT) AS losses, round(least(1.0, 2 * (SELECT sum(exp(lgamma(k + m + 1.0) - lgamma(i + 1.0) - lgamma(k + m - i + 1.0) - (k + m) * ln(2))) FROM (SELECT unnest(range(0, least(k, m) + 1)) AS i) s)), 6) AS p FROM (SELECT count(*) FILTER (WHERE label < 4) AS k, count(*) FILTER (WHERE label >= 4 AND label < 8) AS m FROM {embeddings} WHERE vec_id < 100) x")
+@query("SELECT CAST(k AS BIGINT) AS wins, CAST(m AS BIGINT) AS losses, round(least(1.0, 2 * (SELECT sum(exp(lgamma(k + m + 1.0) - lgamma(i + 1.0) - lgamma(k + m - i + 1.0) - (k + m) * ln(2))) FROM (SELECT unnest(range(0, least(k, m) + 1)) AS i) s)), 6) AS p FROM (SELECT count(*) FILTER (WHERE label < 4) AS k, count(*) FILTER (WHERE label >= 4 AND label < 8) AS m FROM {embeddings}) x")
 def sign_test(t: Tables) -> DataFrame:
-    a = t.embeddings.where("vec_id < 100").agg(F.count_if(F.col("label") < 4).alias("wins"), F.count_if((F.col("label") >= 4) & (F.col("label") < 8)).alias("losses"))
+    a = t.embeddings.agg(F.count_if(F.col("label") < 4).alias("wins"), F.count_if((F.col("label") >= 4) & (F.col("label") < 8)).alias("losses"))
     return a.select("wins", "losses", r6(evaluate.sign_test(F.col("wins"), F.col("losses")), "p"))
 
 
@@ -193,10 +194,10 @@ def majority_verdict(t: Tables) -> DataFrame:
     return evaluate.majority(v)
 
 
-@query("SELECT label AS task, round(avg(greatest(0.0, s)), 6) AS agreement, count(*) AS pairs FROM (SELECT a.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 60 AND b.vec_id < 60) x GROUP BY 1")
+@query("SELECT task, round(avg(greatest(0.0, s)), 6) AS agreement, count(*) AS pairs FROM (SELECT a.vec_id // 6 AS task, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM {embeddings} a JOIN {embeddings} b ON a.vec_id // 6 = b.vec_id // 6 AND a.vec_id < b.vec_id) x GROUP BY 1")
 def run_agreement(t: Tables) -> DataFrame:
-    """The first sixty vectors stand for a task's runs; a run's answers are few by their nature."""
-    runs = t.embeddings.where("vec_id < 60").select(F.col("label").alias("task"), F.col("vec_id").alias("seed"), "embedding")
+    """Each six vectors in a row stand for the runs of a task."""
+    runs = t.embeddings.select(F.floor(F.col("vec_id") / 6).cast("long").alias("task"), F.col("vec_id").alias("seed"), "embedding")
     return evaluate.agreement(runs).select("task", r6("agreement"), "pairs")
 
 

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +41,35 @@ def test_sign_test(spark):
     assert value(spark, E.sign_test(F.lit(0), F.lit(0))) is None
 
 
-def test_wilcoxon():
-    assert E.wilcoxon_p([1, 2, 3, 4], [0, 0, 0, 0]) is None and E.wilcoxon_p([1] * 6, [1] * 6) is None
-    assert E.wilcoxon_p([1, 2, 3, 4, 5, 6], [0] * 6) < 0.05
+def plain_wilcoxon(a, b):
+    d = [x - y for x, y in zip(a, b) if x != y]
+    if len(a) < 5 or not d:
+        return None
+    size = sorted(abs(x) for x in d)
+    rank = {v: sum(i for i, s in enumerate(size, 1) if s == v) / size.count(v) for v in set(size)}
+    n, up = len(d), sum(rank[abs(x)] for x in d if x > 0)
+    var = n * (n + 1) * (2 * n + 1) / 24 - sum(size.count(v) ** 3 - size.count(v) for v in set(size)) / 48
+    return math.erfc(abs(up - n * (n + 1) / 4) / math.sqrt(2 * var)) if var > 0 else 1.0
+
+
+def test_wilcoxon(spark):
+    rng = random.Random(2)
+    for a, b in ([1, 2, 3, 4], [0] * 4), ([1] * 6, [1] * 6), ([1, 2, 3, 4, 5, 6], [0] * 6), ([rng.randint(0, 9) for _ in range(60)], [rng.randint(2, 9) for _ in range(60)]):
+        d = spark.createDataFrame([(i, t, float(x)) for t, v in (("a", a), ("b", b)) for i, x in enumerate(v)] + [(99, "a", 1.0)], "task int, tool string, score double")
+        r, want = E.wilcoxon(d, "a", "b").first(), plain_wilcoxon(a, b)
+        assert r["n"] == len(a) and (r["p"] is None if want is None else r["p"] == pytest.approx(want))
+    assert plain_wilcoxon([1, 2, 3, 4, 5, 6], [0] * 6) < 0.05
+
+
+def test_sign_test_of_many(spark):
+    want = 2 * sum(math.exp(math.lgamma(901) - math.lgamma(i + 1) - math.lgamma(901 - i) - 900 * math.log(2)) for i in range(421))
+    assert value(spark, E.sign_test(F.lit(480), F.lit(420))) == pytest.approx(want)
+
+
+def test_spearman_over_all_rows_equals_that_of_one_group(spark):
+    rng = random.Random(5)
+    d = spark.createDataFrame([(0, rng.randint(0, 20), rng.random()) for _ in range(200)] + [(0, None, 1.0)], "g int, x int, y double")
+    assert E.spearman(d, "x", "y").first()["rho"] == pytest.approx(E.spearman(d, "x", "y", "g").first()["rho"])
 
 
 def test_verdicts(spark):
