@@ -76,6 +76,25 @@ def _release_all() -> None:
         release()
 
 
+#: Keys of rows that are broadcast, at most: some 64 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """What a row is known by where ids may repeat: its id and a hash of its text."""
+    return F.struct(docs[doc_id].alias("id"), F.xxhash64(docs[text].cast("string")).alias("h"))
+
+
+def keyed_join(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str, most: int | None = None) -> DataFrame:
+    """The rows of docs whose row_key is (left_semi) or is not (left_anti) in the column `_key` of keys, a written table. Up to
+    `most` of them are counted and broadcast, so that no document is shuffled; more are joined by a shuffle."""
+    most = BROADCAST_KEYS if most is None else most
+    side = keys.select(F.col("_key.id").alias("_key_id"), F.col("_key.h").alias("_key_h"))
+    if side.limit(most + 1).count() <= most:
+        side = F.broadcast(side)
+    return docs.join(side, (F.xxhash64(docs[text].cast("string")) == side["_key_h"]) & docs[doc_id].eqNullSafe(side["_key_id"]), how)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of the batches that Python workers get, as texts may be very long. Spark reads this when a plan runs, so
     it is set for the session, where it is larger or none."""

@@ -11,7 +11,9 @@ set of 9 places of 13, and of as many as `share` and `least` ask of a shorter it
 
 The benchmark is taken in blocks of about `block` words. A block's seeds (a row of item, place and hash for each word and mask) and its
 words are broadcast apart; the documents are read once for a block. So what is broadcast is bounded whatever
-the benchmark's size, and no pair is lost. No document row is shuffled, only the alignments that were hit.
+the benchmark's size, and no pair is lost. No document row is shuffled, only the alignments that were hit. A benchmark of more than
+`scans` blocks is joined by seed instead: the documents' windows are shuffled once and their words come to the alignments that were
+hit by another join, with the same result.
 
 Edge cases: null or empty texts, and items of fewer than `least` words, are never contaminated nor contaminate. Rows
 that repeat a doc_id or item_id are one document or item in the result. Overlaps that tie are reported by the least start.
@@ -24,6 +26,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import keyed_join, materialize, row_key
+
 MASKS = ("11011", "1101001", "1111", "1100101", "10111", "111001")
 
 
@@ -56,7 +60,33 @@ def blocks(items: DataFrame, block: int) -> Iterator[DataFrame]:
         yield items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", *, masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.69, least: int = 5, block: int = 500_000) -> DataFrame:
+def verified(hits: DataFrame, window: int, share: float, least: int) -> DataFrame:
+    """The best window of each document and item, of hits (doc_id, item_id, diag, dh, ih): the alignment and the words of both."""
+    # the item's words against the document's on the hit's alignment; places outside the document do not agree
+    aligned = F.transform(F.col("ih"), lambda h, j: F.coalesce((F.get(F.col("dh"), j + F.col("diag")) == h).cast("tinyint"), F.lit(0).cast("tinyint")))
+    # once for each alignment and not for each hit; as an aggregate's result, so that Spark verifies after this and not before
+    once = hits.select("doc_id", "item_id", "diag", aligned.alias("flags")).groupBy("doc_id", "item_id", "diag", "flags")
+    flags = once.agg(F.max("flags").alias("same")).select("doc_id", "item_id", "diag", "same")
+    length = F.least(F.size("same"), F.lit(window))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("same") - length),
+        lambda i: F.struct(F.aggregate(F.slice(F.col("same"), i + 1, length), F.lit(0), lambda a, x: a + x).alias("matched"), (-(i + F.col("diag"))).alias("back"), length.alias("compared")),
+    )
+    best = flags.select("doc_id", "item_id", F.array_max(runs).alias("best")).where((F.col("best.matched") >= F.ceil(F.col("best.compared") * share)) & (F.col("best.matched") >= least))
+    return best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+
+
+def joined_by_seed(hashed: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """Hits of a benchmark of any size. Rows of documents and items have numbers here, as their ids may repeat."""
+    docs = materialize(hashed.withColumn("_doc", F.monotonically_increasing_id()), "words")
+    parts = materialize(items.withColumn("_item", F.monotonically_increasing_id()), "items")
+    found = seeded(parts.select("_item", "ih"), "ih", masks).select("seed", "_item", F.col("pos").alias("ipos"))
+    met = seeded(docs.select("_doc", "dh"), "dh", masks).select("seed", "_doc", "pos").join(found, "seed")
+    hit = met.select("_doc", "_item", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+    return hit.join(docs, "_doc").join(parts, "_item").select("doc_id", "item_id", "diag", "dh", "ih")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", *, masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.69, least: int = 5, block: int = 500_000, scans: int = 8) -> DataFrame:
     """(doc_id, item_id, start, matched, compared) for each document and item that overlap: where on the document's
     words the best window begins, how many of its words agree, and of how many."""
     items = (
@@ -65,28 +95,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     )
     hashed = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("dh"))
     out = None
-    for part in blocks(items, block):
+    parts = list(blocks(items, block))
+    for part in parts if len(parts) <= scans else ():
         found = seeded(part, "ih", masks).select("seed", F.col("item_id").alias("_item"), F.col("pos").alias("ipos"))
         met = seeded(hashed, "dh", masks).join(F.broadcast(found), "seed")
         hits = met.join(F.broadcast(part), met["_item"].eqNullSafe(part["item_id"]))
-        # the item's words against the document's on the hit's alignment; places outside the document do not agree
-        diagonal = F.col("pos") - F.col("ipos")
-        aligned = F.transform(F.col("ih"), lambda h, j: F.coalesce((F.get(F.col("dh"), j + diagonal) == h).cast("tinyint"), F.lit(0).cast("tinyint")))
-        # once for each alignment and not for each hit; as an aggregate's result, so that Spark verifies after this and not before
-        once = hits.select("doc_id", "item_id", diagonal.alias("diag"), aligned.alias("flags")).groupBy("doc_id", "item_id", "diag", "flags")
-        flags = once.agg(F.max("flags").alias("same")).select("doc_id", "item_id", "diag", "same")
-        length = F.least(F.size("same"), F.lit(window))
-        runs = F.transform(
-            F.sequence(F.lit(0), F.size("same") - length),
-            lambda i: F.struct(F.aggregate(F.slice(F.col("same"), i + 1, length), F.lit(0), lambda a, x: a + x).alias("matched"), (-(i + F.col("diag"))).alias("back"), length.alias("compared")),
-        )
-        best = flags.select("doc_id", "item_id", F.array_max(runs).alias("best")).where((F.col("best.matched") >= F.ceil(F.col("best.compared") * share)) & (F.col("best.matched") >= least))
-        found = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+        found = verified(hits.withColumn("diag", F.col("pos") - F.col("ipos")), window, share, least)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = verified(joined_by_seed(hashed, items, masks), window, share, least)
     return out.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.matched").cast("long").alias("matched"), F.col("best.compared").cast("long").alias("compared"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs without the contaminated ones; rows without an id are kept, as they cannot be named."""
-    bad = overlaps(docs, benchmark, text, doc_id, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+    """docs without the contaminated rows. A row is known by its id and text, so a clean one that shares a contaminated one's id stays."""
+    keyed = docs.select(row_key(docs, doc_id, text).alias("key"), F.col(text).alias("t"))
+    bad = materialize(overlaps(keyed, benchmark, "t", "key", **how).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return keyed_join(docs, bad, doc_id, text, "left_anti")

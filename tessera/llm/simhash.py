@@ -8,10 +8,13 @@ metrics of their own; so each half has a vantage-point tree, and each point goes
 at most mu from its vantage left and the others right; by the triangle inequality a partner of a left point can be right
 only if the point is within r of the boundary, so those points go to the right as well (and on from there in the same
 way). Any pair within reach thus meets in some leaf, where distances on all 64 bits decide. Leaves that stay large are
-searched by a further tree over all 64 bits. A leaf gives a spanning forest of its links, not its pairs, so a group of
-copies costs a row each; components follow by alternating large and small stars.
+searched by a further tree over all 64 bits, and what no tree cuts (many points about one centre) by the points' own
+neighbourhoods: two points are within an even radius r if some fingerprint is within r / 2 of both. A leaf gives a spanning forest of
+its links, not its pairs, so a group of copies costs a row each; components follow by alternating large and small stars.
 
-The trees are fitted on at most `sample` fingerprints (those of the least hash); that decides only the shapes of leaves.
+The trees are fitted on fingerprints of the least hash, so many that a leaf of `leaf` points has 16 of them, `sample` at least and
+`most_sample` (8 MB) at most; that decides only the shapes of leaves. So a leaf has about `leaf` points up to `leaf` * `most_sample`
+/ 16 fingerprints (250 million), and a 62,500th of them beyond, which a task searches in time about linear in it.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id each come
 back, with the same component if the texts link. A null doc_id gets a component, but is never its smallest id.
@@ -19,15 +22,16 @@ back, with the same component if the texts link. A null doc_id gets a component,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import chunks_of, materialize, small_batches
+from tessera.llm._common import keyed_join, materialize, row_key, small_batches
 
 ZERO = np.uint64(0)
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -112,16 +116,38 @@ def route(node: Node, at: np.ndarray, points: np.ndarray, mask: np.uint64, radiu
 
 def forest(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join whatever is linked among distinct points: (point, root) arrays."""
+    if len(points) <= BRUTE:
+        return _brute(points, radius)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    if len(points) > BRUTE:
-        names = iter(range(1 << 62))
-        node = grow(points, BRUTE // 2, full, radius, names)
-        if node.leaf < 0:
-            out = []
-            for _, at in route(node, np.arange(len(points)), points, full, radius):
-                out += _brute(points[at], radius)
-            return out
-    return _brute(points, radius)
+    node = grow(points, BRUTE // 2, full, radius, iter(range(1 << 62)))
+    out = []
+    for _, at in route(node, np.arange(len(points)), points, full, radius):
+        out += _brute(points[at], radius) if len(at) <= 4 * BRUTE or radius % 2 else _balls(points[at], radius)
+    return out
+
+
+def _balls(points: np.ndarray, radius: int, most: int = 1 << 24) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Points in the ball of radius / 2 about some fingerprint are linked in a row: they are all within the radius. The balls of all
+    points are taken by ranges of their keys, so that some `most` keys at most are held."""
+    flips = [ZERO]
+    for k in range(1, radius // 2 + 1):
+        flips += [np.uint64(sum(1 << b for b in c)) for c in itertools.combinations(range(64), k)]
+    out, parts = [], max(1, -(-len(points) * len(flips) // most))
+    for part in range(parts):
+        keys, owners = [], []
+        for f in flips:
+            key = points ^ f
+            here = np.flatnonzero((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts) == np.uint64(part))
+            keys.append(key[here])
+            owners.append(here)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        pairs = np.unique(np.sort(np.stack([owner[same], owner[same + 1]]), axis=0), axis=1)
+        if pairs.shape[1]:
+            out.append((points[pairs[0]], points[pairs[1]]))
+    return out
 
 
 def _brute(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -147,11 +173,16 @@ def _brute(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray
     return out
 
 
-def links(points: DataFrame, radius: int = 2, *, sample: int = 20_000, leaf: int = 4096) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, *, sample: int = 20_000, most_sample: int = 1_000_000, leaf: int = 4096) -> DataFrame:
     """(a, b) links among distinct fingerprints `fp` that span every component of Hamming distance `radius`."""
     spark = points.sparkSession
     count = points.count()
-    picked = np.array([r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).astype(np.uint64)
+    wanted = min(most_sample, max(sample, 16 * count // leaf))
+    picked = points.select("fp", F.xxhash64("fp").alias("h"))
+    if wanted < count:  # a hash's share, not a sort of all
+        picked = picked.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * wanted / count)))
+    picked = picked.toArrow()
+    picked = picked.column("fp").to_numpy()[np.argsort(picked.column("h").to_numpy())][:wanted].astype(np.uint64)
     each = radius // 2
     names = iter(range(1 << 31))
     trees = [(grow(picked, max(8, int(leaf * len(picked) / max(count, 1))), m, each, names), m) for m in HALVES]
@@ -159,11 +190,22 @@ def links(points: DataFrame, radius: int = 2, *, sample: int = 20_000, leaf: int
     shared = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy().astype(np.uint64)
+        def placed(held: list[np.ndarray]):
+            fp = np.concatenate(held).astype(np.uint64)
             for tree, mask in shared.value:
                 for name, at in route(tree, np.arange(len(fp)), fp, mask, each):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, np.int32)), pa.array(fp[at].astype(np.int64))], ["leaf", "fp"])
+                    for i in range(0, len(at), 1 << 16):
+                        part = fp[at[i : i + (1 << 16)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int32)), pa.array(part.astype(np.int64))], ["leaf", "fp"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            if sum(map(len, held)) >= 1 << 18:
+                yield from placed(held)
+                held = []
+        if held:
+            yield from placed(held)
 
     def search(group: pa.Table) -> pa.Table:
         fp = np.unique(group.column("fp").to_numpy().astype(np.uint64))
@@ -209,11 +251,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, **fit) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     prints = materialize(fingerprints(docs, text, doc_id), "prints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    return prints.join(by_fingerprint(prints, F.col("doc_id"), radius, **fit), "fp").select("doc_id", "fp", "component_id")
+
+
+def by_fingerprint(prints: DataFrame, name: Column, radius: int = 2, **fit) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of `prints`: the least name in the component."""
+    points = materialize(prints.groupBy("fp").agg(F.min(name).alias("least")), "points")
     roots = materialize(components(links(points, radius, **fit)), "roots")
     owned = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(owned.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return owned.join(least, "root").select("fp", "component_id")
 
 
 def as_hex(fp: str = "fp"):
@@ -221,12 +268,16 @@ def as_hex(fp: str = "fp"):
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **fit) -> DataFrame:
-    """docs with one document of each component, that of the smallest id. Rows that repeat its id and columns are one
-    document; rows without an id cannot be named and stay."""
-    found = near_duplicates(docs, text, doc_id, **fit)
-    ids = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept").withColumnRenamed("doc_id", "_kept")
-    named = lambda which: docs.join(ids.where(which), docs[doc_id] == ids["_kept"], "left_semi")
-    out = named("_n = 1")
-    if ids.where("_n > 1").limit(1).count():
-        out = out.unionByName(named("_n > 1").dropDuplicates([doc_id]))
-    return out.unionByName(docs.where(F.col(doc_id).isNull()))
+    """docs with one document of each component: that of the smallest id, and of different texts that share it the one of the
+    smallest hash. Rows that share an id and are no near duplicates are documents of their own; rows that repeat an id and its
+    text are one document; rows without an id cannot be named and stay."""
+    keyed = docs.select(row_key(docs, doc_id, text).alias("key"), F.col(text).alias("t"))
+    prints = materialize(fingerprints(keyed, "t", "key").groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "prints")
+    named = F.when(F.col("doc_id.id").isNotNull(), F.col("doc_id"))
+    first = by_fingerprint(prints, named, **fit).select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    kept = materialize(prints.join(first, "doc_id").select(F.col("doc_id").alias("_key"), "n"), "kept")
+    once, more = kept.where("n = 1").select("_key"), kept.where("n > 1").select("_key")
+    out = keyed_join(docs, once, doc_id, text, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    if more.limit(1).count():
+        out = out.unionByName(keyed_join(docs, more, doc_id, text, "left_semi").dropDuplicates([doc_id, text]))
+    return out

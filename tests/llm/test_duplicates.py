@@ -65,6 +65,8 @@ def test_simhash_of_odd_rows(spark):
     kept = simhash.deduplicate(d)
     assert kept.columns == d.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 9), (False, 10), (False, 11), (False, 12), (True, 0)]
+    two = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (1, "a b c d"), (2, "a b c d"), (2, "x y z w"), (3, "x y z w"), (4, None), (4, ""), (None, "q")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.deduplicate(two).collect()) == [(0, "q"), (1, "a b c d"), (1, "e f g h"), (2, "x y z w"), (4, "")]
     assert simhash.near_duplicates(d.limit(0)).count() == 0 and simhash.deduplicate(d.limit(0)).count() == 0
 
 
@@ -99,6 +101,32 @@ def test_forest_links_all_of_a_tight_cluster(n):
             assert find(int(points[i])) == find(int(points[j]))
 
 
+def test_a_cluster_that_no_tree_cuts(monkeypatch):
+    """Half of all points within three bits of one centre, and a tail of points a step apart: in one leaf, by their neighbourhoods."""
+    rng = np.random.default_rng(9)
+    centre, full = np.uint64(0x0F0F0F0F33335555), [np.uint64(1 << b) for b in range(64)]
+    ball = [centre ^ full[a] ^ full[b] ^ full[c] for a, b, c in itertools.combinations(range(64), 3)]
+    chain = [np.uint64((1 << 60) + (1 << k) - 1) for k in range(0, 40, 2)]
+    points = np.unique(np.array([*rng.permutation(np.array(ball))[:20_000], *chain, *rng.integers(0, 2**62, 200).astype(np.uint64)], np.uint64))
+    monkeypatch.setattr(simhash, "_brute", None)
+    for most in (1 << 24, 1 << 16):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root.setdefault(root[x], root[x])
+            return x
+
+        links = [(int(a), int(b)) for x, y in simhash._balls(points, 2, most) for a, b in zip(x, y)]
+        assert all(0 < (a ^ b).bit_count() <= 2 for a, b in links)
+        for a, b in links:
+            root[find(a)] = find(b)
+        assert len({find(int(c)) for c in chain}) == 1
+        for i in range(0, len(points), 501):
+            for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 2):
+                assert find(int(points[i])) == find(int(points[j]))
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["fp"]: r["root"] for r in simhash.components(e).collect()}
@@ -115,6 +143,8 @@ def test_decontamination_against_sql(spark):
     assert sorted(map(tuple, got.collect())) == want and want
     blocked = decontam.overlaps(read("documents"), read("benchmark"), block=100)
     assert sorted(map(tuple, blocked.collect())) == want
+    joined = decontam.overlaps(read("documents"), read("benchmark"), block=100, scans=2)
+    assert sorted(map(tuple, joined.collect())) == want
 
 
 def test_decontamination_tolerates_substitutions_and_odd_rows(spark):
@@ -125,7 +155,11 @@ def test_decontamination_tolerates_substitutions_and_odd_rows(spark):
     b = spark.createDataFrame([(1, " ".join(item), 1), (2, None, 1), (3, "too short", 1), (1, " ".join(item), 1)], "item_id long, text string, diag int")
     got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.overlaps(d, b).collect()}
     assert got == {(1, 1): 13, (2, 1): 10, (7, 1): 13, (8, 1): 13, (None, 1): 13}
-    assert sorted(r["doc_id"] or 0 for r in decontam.decontaminate(d, b).collect()) == [0, 3, 4, 5, 6]
+    by_seed = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.overlaps(d, b, block=1, scans=0).collect()}
+    assert by_seed == got
+    clean = decontam.decontaminate(d, b)  # the clean one of the two rows of id 8 stays, and so would one without an id
+    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6, 8] and clean.where("doc_id = 8").first()["text"] == "of the same id"
+    assert sorted(map(str, decontam.keyed_join(d, spark.createDataFrame([((8, 1),)], "_key struct<id:bigint,h:bigint>"), "doc_id", "text", "left_anti", most=0).collect())) == sorted(map(str, d.collect()))
     assert decontam.decontaminate(d, b).columns == d.columns
     assert decontam.overlaps(d.limit(0), b).count() == 0 and decontam.overlaps(d, b.limit(0)).count() == 0
 
