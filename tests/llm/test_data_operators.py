@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import mixing, oracles, queries, secrets, shards, tokens
+from tessera.llm._common import WRITTEN, materialize, release, row_key
 
 SF = "/root/testdata/sf0.001"
 KINDS = (
@@ -325,6 +326,97 @@ def test_pipeline_stage_by_stage(spark):
     assert corpus_pipeline.run(spark, SF).count() == n[5]
 
 
+def plain_pipeline(docs, benchmark):
+    """Ids and texts that the first four stages keep, in plain Python over lists of dictionaries."""
+    import math
+    from collections import Counter
+
+    from tests.llm.test_duplicates import classes, plain_print
+
+    # language ID: orders 3 to 0 of each language's own bytes
+    counts = {}
+    for d in docs:
+        if d["text"] is not None and d["lang"] is not None:
+            t, tree = b"\0\0\0" + d["text"].encode(), counts.setdefault(d["lang"], {})
+            for i in range(3, len(t)):
+                for k in range(4):
+                    tree.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    totals = {lang: {c: (sum(n.values()), len(n)) for c, n in tree.items()} for lang, tree in counts.items()}
+
+    def bits(text):
+        t, best = b"\0\0\0" + text.encode(), math.inf
+        for lang, tree in counts.items():
+            sum_ = 0.0
+            for i in range(3, len(t)):
+                for k in (3, 2, 1, 0):
+                    n = tree.get(t[i - k : i])
+                    if n is None:
+                        continue
+                    total, q = totals[lang][t[i - k : i]]
+                    sum_ -= math.log2(n.get(t[i], q) / (total + q))
+                    if t[i] in n:
+                        break
+                else:
+                    sum_ += 8
+            best = min(best, sum_)
+        return best / (len(t) - 3)
+
+    docs = [d for d in docs if d["text"] and any(c.isalpha() for c in d["text"]) and bits(d["text"]) <= corpus_pipeline.MOST_BITS]
+    group = classes([(d["doc_id"], plain_print(d["text"])) for d in docs])
+    docs = [d for d in docs if group[d["doc_id"]][1] == d["doc_id"]]
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [w for w in (words(b["text"]) for b in benchmark) if len(w) >= 5]
+
+    def contaminated(text):
+        w = words(text)
+        where = {}
+        for i, x in enumerate(w):
+            where.setdefault(x, []).append(i)
+        for item in items:
+            diagonals = Counter(i - j for j, x in enumerate(item) for i in where.get(x, ()))
+            for diag, n in diagonals.items():
+                if n >= 5:
+                    same = [0 <= j + diag < len(w) and w[j + diag] == x for j, x in enumerate(item)]
+                    size = min(13, len(item))
+                    if max(sum(same[i : i + size]) for i in range(len(item) - size + 1)) >= max(5, math.ceil(0.69 * size)):
+                        return True
+        return False
+
+    docs = [d for d in docs if not contaminated(d["text"])]
+    return docs
+
+
+def test_pipeline_against_plain_python(spark):
+    """All stages on the smallest tables: the first three by plain Python, and the mix by its SQL on what they keep."""
+    small = spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") < 3000)
+    docs = [r.asDict() for r in small.collect()]
+    kept = plain_pipeline(docs, [r.asDict() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    now = small
+    for (name, stage), _ in zip(corpus_pipeline.STAGES, range(3)):
+        now = materialize(stage(spark, now, SF), name)
+    assert 20 < len(kept) < len(docs) and sorted(r["doc_id"] for r in now.collect()) == sorted(d["doc_id"] for d in kept)
+    key = {r["doc_id"]: str(r["k"]) for r in now.select("doc_id", row_key(now, "doc_id", "text").cast("string").alias("k")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [(key[d["doc_id"]], d["text"], d["lang"], d["source"]) for d in kept])
+    taken = {r[0] for r in con.execute(oracles.mix(corpus_pipeline.FRACTION, queries.WEIGHTS, 1)).fetchall()}
+    mixed = materialize(corpus_pipeline.mix(spark, now, SF), "mixed")
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(d["doc_id"] for d in kept if key[d["doc_id"]] in taken) and len(taken) < len(kept)
+    shards_ = corpus_pipeline.shard(spark, mixed, SF)
+    assert sorted(r["doc_id"] for r in shards_.collect()) == sorted(r["doc_id"] for r in mixed.collect())
+
+
+def test_run_deletes_what_lay_between_the_stages(spark):
+    since = len(WRITTEN)
+    out = corpus_pipeline.run(spark, SF)
+    assert len(WRITTEN) == since + 1 and out.count() > 0
+    release(since)
+    assert len(WRITTEN) == since
+    with pytest.raises(Exception):
+        out.count()
+
+
 def test_pipeline_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat sat on the mat", "en", "s", 22), (3, "the cat sat on the mat", "en", "s", 22), (4, "12 34", "en", "s", 5), (None, "a dog ran", "en", None, 9)]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _bad string")
