@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
-Each of `projections` random lines gives every vector one number; a block of vectors keeps, for each line, these numbers
-sorted, and each vector's place in that order. A query opens on every line a window about its own number and counts, for each vector, the lines on which it lies
-inside. Windows widen together by `step` (virtual rehashing: the arrays stay as they are, only the new ends are read), and a
-vector that is inside on `threshold` of the lines is verified by its exact inner product. A block is done once it has
-verified the k wanted and `verify` of its vectors, ten times k at least.
+Each of `projections` random lines gives every vector one number. A block of vectors keeps, for each line, these numbers sorted
+and cut into `cells` runs of equal size, and for each cut a bitmap of the vectors below it. A query opens on every line a
+window about its own number; the vectors in it are the difference of two bitmaps, and a vector's collisions are the lines on
+which it lies inside, counted for all vectors at once by bitwise adders. A vector with collisions on `threshold` of the lines is verified by
+its exact inner product. Windows start at a width that fits the block's own vectors and widen together by virtual rehashing (the
+arrays stay as they are, other cuts of them are read) until a query is done.
+
+A query is done when its windows are so wide that a vector as near as its k-th best one so far would have passed the threshold
+with the probability `sure`: projections of a difference of length d are normal with deviation d, so that width is a
+multiple of d, and nearer vectors pass more surely. How many vectors are verified thus depends on the data, and on nothing else: few
+where neighbours stand out, more where all are about as far. A query whose windows hold a whole block has verified all of it.
 
 The measure is the largest inner product. It becomes a distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
 greatest norm, and queries of norm M (their direction alone counts), so nearest is largest product for vectors of any norms.
@@ -20,6 +26,8 @@ id, and the better is listed; the caps of k + 1 count ids. Ties go to the smalle
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,66 +36,151 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize
 
-PROJECTIONS, STEP, THRESHOLD, VERIFY = 144, 1.06, 0.5, 0.15
+PROJECTIONS, CELLS, THRESHOLD, SURE = 192, 64, 0.5, 0.9
 #: Vectors of a block that tell how wide its first windows are.
 PROBES = 16
+#: Queries that are counted for together.
+TOGETHER = 16
+
+
+def width_per_distance(projections: int, threshold: float, sure: float) -> float:
+    """Half the width of windows, for a distance of 1, at which the collisions reach the threshold with the probability `sure`."""
+    normal, p = NormalDist(), threshold
+    for _ in range(50):  # the chance of a collision on one line that leaves so many deviations above the threshold
+        p = min(1 - 1e-9, threshold + normal.inv_cdf(sure) * (p * (1 - p) / projections) ** 0.5)
+    return normal.inv_cdf((1 + p) / 2)
+
+
+class Collisions:
+    """Counts of bitmaps by bitwise adders: `planes` has a bitmap for each binary digit."""
+
+    def __init__(self) -> None:
+        self.planes: list[np.ndarray] = []
+        self.waiting: list[np.ndarray | None] = []
+
+    def add(self, x: np.ndarray) -> None:
+        digit = 0
+        while True:
+            if digit == len(self.planes):
+                self.planes.append(np.zeros_like(x))
+                self.waiting.append(None)
+            other = self.waiting[digit]
+            if other is None:
+                self.waiting[digit] = x
+                return
+            self.waiting[digit] = None
+            odd = other ^ x
+            other &= x
+            carry = odd & self.planes[digit]
+            carry |= other
+            self.planes[digit] ^= odd
+            x, digit = carry, digit + 1
+
+    def at_least(self, n: int) -> np.ndarray:
+        """The bitmap of those counted n times or more."""
+        for digit in range(len(self.planes)):
+            x, self.waiting[digit], d = self.waiting[digit], None, digit
+            while x is not None:
+                if d == len(self.planes):
+                    self.planes.append(np.zeros_like(x))
+                    self.waiting.append(None)
+                carry = self.planes[d] & x
+                self.planes[d] ^= x
+                x, d = (carry if carry.any() else None), d + 1
+        if n >= 1 << len(self.planes):
+            return np.zeros_like(self.planes[0])
+        more, equal = np.zeros_like(self.planes[0]), ~np.zeros_like(self.planes[0])
+        for digit in range(len(self.planes) - 1, -1, -1):
+            if n >> digit & 1:
+                equal &= self.planes[digit]
+            else:
+                more |= equal & self.planes[digit]
+                equal &= ~self.planes[digit]
+        return more | equal
 
 
 class Index:
-    """The sorted projections of a block of at most 65,536 vectors, and each vector's place in each of them."""
+    """The sorted projections of a block of vectors, as bitmaps of those below each cut."""
 
-    def __init__(self, vectors: np.ndarray, greatest: float, projections: int = PROJECTIONS, seed: int = 11, step: float = STEP, threshold: float = THRESHOLD, verify: float = VERIFY, k: int = 21) -> None:
-        self.vectors, self.greatest, self.step = vectors, greatest, step
+    def __init__(self, vectors: np.ndarray, greatest: float, projections: int = PROJECTIONS, seed: int = 11, cells: int = CELLS, threshold: float = THRESHOLD, sure: float = SURE, k: int = 21) -> None:
+        self.vectors, self.greatest, self.k, self.m = vectors, greatest, k, projections
         self.n, dim = vectors.shape
-        self.m = projections
         self.lines = np.random.default_rng(seed).standard_normal((projections, dim + 1))
         extra = np.sqrt(np.maximum(greatest**2 - (vectors**2).sum(1), 0))
-        values = self.lines[:, :-1] @ vectors.T + np.outer(self.lines[:, -1], extra)
-        order = np.argsort(values, axis=1)
-        self.places = np.empty(values.shape, np.uint16)
-        np.put_along_axis(self.places, order, np.arange(self.n, dtype=np.uint16)[None, :].repeat(self.m, 0), 1)
-        # one array for all lines: line j's numbers lie in (j * gap, (j + 1) * gap)
-        self.low = float(values.min()) - greatest
-        self.gap = 3 * (float(values.max()) - self.low + greatest) + 1
-        self.base = np.arange(self.m) * self.n
-        self.flat = (np.take_along_axis(values, order, 1) - self.low + np.arange(self.m)[:, None] * self.gap).ravel()
-        self.need = int(np.ceil(threshold * self.m))
-        self.enough = min(self.n, max(10 * k, k + int(np.ceil(verify * self.n))))
-        # the first window: what the median of some of the block's own vectors needs
+        words = -(-self.n // 64)
+        ranks = np.arange(cells + 1) * self.n // cells
+        self.below = np.zeros((projections, cells + 1, words * 8), np.uint8)
+        self.cuts = np.empty((projections, cells - 1))
+        place = np.empty(self.n, np.int32)
+        for j, line in enumerate(self.lines):
+            values = vectors @ line[:-1] + extra * line[-1]
+            order = np.argsort(values)
+            place[order] = np.arange(self.n, dtype=np.int32)
+            self.cuts[j] = values[order[np.minimum(ranks[1:-1], self.n - 1)]]
+            packed = np.packbits(place[None, :] < ranks[:, None], axis=1, bitorder="little")
+            self.below[j, :, : packed.shape[1]] = packed
+        self.below = self.below.view(np.uint64)
+        # one array for all lines: line j's cuts lie about j * gap
+        self.low = float(self.cuts.min()) - greatest if cells > 1 else 0.0
+        self.gap = 3 * (float(self.cuts.max()) - self.low + greatest) + 1 if cells > 1 else 1.0
+        self.flat = (self.cuts - self.low + np.arange(self.m)[:, None] * self.gap).ravel()
+        self.base = np.arange(self.m) * (cells - 1)
+        self.cells = cells
+        self.need = max(1, int(np.ceil(threshold * self.m)))
+        self.per_distance = width_per_distance(self.m, threshold, sure)
         probes = vectors[:: max(1, self.n // PROBES)][:PROBES]
-        self.start = 1e-9 * greatest
-        self.start = float(np.median([self._widen(q, self._reach(q))[0] for q in probes]))
-
-    def _centre(self, query: np.ndarray) -> np.ndarray:
-        centre = self.lines[:, :-1] @ (query * (self.greatest / np.linalg.norm(query)))
-        return np.clip(centre - self.low, -self.gap / 3, 2 * self.gap / 3) + np.arange(self.m) * self.gap
-
-    def _reach(self, query: np.ndarray) -> float:
-        """Half the width of a window that holds about a fifth of the block."""
-        at = np.clip(np.searchsorted(self.flat, self._centre(query)), self.base, self.base + self.n)
-        by = max(1, self.n // 10)
-        ends = self.flat[np.minimum(at + by, self.base + self.n - 1)] - self.flat[np.maximum(at - by, self.base)]
-        return max(float(np.median(ends)) / 2, 1e-9 * self.greatest)
-
-    def _widen(self, query: np.ndarray, width: float) -> tuple[float, np.ndarray]:
-        """The width at which enough vectors collide often enough, and their places in the block."""
-        centre = self._centre(query)
-        while True:
-            lo = np.clip(np.searchsorted(self.flat, centre - width) - self.base, 0, self.n)
-            hi = np.clip(np.searchsorted(self.flat, centre + width, "right") - self.base, 0, self.n)
-            if self.n > 65_535 or ((lo == 0) & (hi == self.n)).all():
-                return width, np.arange(self.n)
-            inside = (self.places - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]
-            count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if self.m < 256 else np.uint16)
-            found = np.flatnonzero(count >= self.need)
-            if len(found) >= self.enough:
-                return width, found
-            width *= self.step
-
-    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact products of the vectors that were verified."""
-        _, found = self._widen(query, self.start)
-        return found, self.vectors[found] @ query
+        far = [self._distance(q, np.sort(vectors @ q)[-min(self.n, k)]) for q in probes]
+        far = [d for d in far if d > 1e-6 * greatest] or [0.1 * greatest]
+        self.start = self.per_distance * float(np.median(far))
+
+    def _distance(self, query: np.ndarray, product: float) -> float:
+        """Of a vector with this product, from the query at the greatest norm."""
+        return float(np.sqrt(max(0.0, 2 * self.greatest**2 - 2 * self.greatest / np.linalg.norm(query) * product)))
+
+    def _cells(self, at: np.ndarray) -> np.ndarray:
+        """How many cuts of each line (a column) are below these numbers (a row for each query)."""
+        inside = np.clip(at - self.low, -self.gap / 3, 2 * self.gap / 3) + np.arange(self.m) * self.gap
+        return np.clip(np.searchsorted(self.flat, inside) - self.base, 0, self.cells - 1)
+
+    def _collide(self, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of the vectors with enough collisions, and whether a query's windows hold the whole block."""
+        left, right = self._cells(centres - widths[:, None]), self._cells(centres + widths[:, None])
+        right = np.where(right == self.cells - 1, self.cells, right)  # the last cut has nothing beyond
+        right = np.where((right <= left) & (left < self.cells), left + 1, right)
+        counts = Collisions()
+        for j in range(self.m):
+            counts.add(self.below[j][right[:, j]] ^ self.below[j][left[:, j]])
+        return counts.at_least(self.need), ((left == 0) & (right == self.cells)).all(1)
+
+    def search(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the places of the vectors that were verified, and their exact products."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for i in range(0, len(queries), TOGETHER):
+            some = queries[i : i + TOGETHER]
+            centres = (some * (self.greatest / np.linalg.norm(some, axis=1))[:, None]) @ self.lines[:, :-1].T
+            widths, left = np.full(len(some), self.start), np.arange(len(some))
+            while len(left):
+                passed, whole = self._collide(centres[left], widths[left])
+                rows = np.unpackbits(passed.view(np.uint8), axis=1, bitorder="little")[:, : self.n]
+                again = []
+                for q, row, all_ in zip(left, rows, whole):
+                    found = np.arange(self.n) if all_ else np.flatnonzero(row)
+                    known, score = out[i + q]
+                    new = np.setdiff1d(found, known, assume_unique=True) if len(known) else found
+                    found, score = np.r_[known, new], np.r_[score, self.vectors[new] @ some[q]]
+                    out[i + q] = found, score
+                    if all_:
+                        continue
+                    if len(found) < self.k:
+                        widths[q] *= 1.3
+                        again.append(q)
+                        continue
+                    wanted = self.per_distance * self._distance(some[q], np.partition(score, -self.k)[-self.k])
+                    if wanted > widths[q] * (1 + 1e-9):
+                        widths[q] = wanted
+                        again.append(q)
+                left = np.array(again, np.int64)
+        return out
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -99,11 +192,14 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else -1))
 
 
-def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", *, k: int = 20, block: int = 4096, query_block: int = 2048, projections: int = PROJECTIONS, step: float = STEP, threshold: float = THRESHOLD, verify: float = VERIFY, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", *, k: int = 20, block: int = 16_384, query_block: int = 16_384, projections: int = PROJECTIONS, cells: int = CELLS, threshold: float = THRESHOLD, sure: float = SURE, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row where `queries` (on the column vec_id) holds."""
+    spark = vectors.sparkSession
     rows = materialize(usable(vectors, vec_id, embedding), "vectors")
     stats = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    blocks, parts = max(1, -(-stats["n"] // block)), max(1, -(-stats["q"] // query_block))
+    blocks = max(1, -(-stats["n"] // block))
+    # queries are dealt further where there are few blocks, so that all cores have work
+    parts = max(1, -(-stats["q"] // query_block), min(-(-2 * spark.sparkContext.defaultParallelism // blocks), -(-stats["q"] // 256)))
     greatest = float(np.sqrt(stats["m"] or 1.0)) * (1 + 1e-12)
     place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -119,10 +215,9 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
         ids, names = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        index = Index(matrix(left)[order], greatest, projections, seed, step, threshold, verify, k + 1)
+        index = Index(matrix(left)[order], greatest, projections, seed, cells, threshold, sure, k + 1)
         out_q, out_v, out_s = [], [], []
-        for name, query in zip(names, matrix(right)):
-            found, score = index.search(query)
+        for name, (found, score) in zip(names, index.search(matrix(right))):
             other = ids[found] != name
             found, score = ids[found][other], score[other]
             best = np.lexsort((found, -score))

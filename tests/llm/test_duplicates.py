@@ -174,6 +174,50 @@ def exact(ids, vectors, k):
     return out
 
 
+def test_collisions_are_counted_by_adders():
+    rng = np.random.default_rng(0)
+    bits = rng.integers(0, 2, (37, 3, 128)).astype(np.uint8)
+    for n in (1, 5, 18, 20, 32, 37, 38, 99):
+        counts = ann.Collisions()
+        for b in bits:
+            counts.add(np.packbits(b, axis=1, bitorder="little").view(np.uint64))
+        got = np.unpackbits(counts.at_least(n).view(np.uint8), axis=1, bitorder="little")
+        assert (got == (bits.sum(0) >= n)).all()
+
+
+@pytest.mark.parametrize("n", [1, 63, 500, 3000])
+def test_windows_hold_what_lies_between_the_cuts(n):
+    """The vectors that pass are those that lie in the runs of enough lines' sorted numbers, counted one by one."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 8))
+    greatest = float(np.linalg.norm(v, axis=1).max())
+    index = ann.Index(v, greatest, projections=24, cells=8, k=5)
+    queries = rng.standard_normal((3, 8))
+    centres = (queries * (greatest / np.linalg.norm(queries, axis=1))[:, None]) @ index.lines[:, :-1].T
+    passed, _ = index._collide(centres, np.array([0.2, 1.0, 3.0]) * greatest)
+    values = np.c_[v, np.sqrt(np.maximum(greatest**2 - (v**2).sum(1), 0))] @ index.lines.T
+    for q, w in enumerate((0.2 * greatest, greatest, 3 * greatest)):
+        count = np.zeros(n, int)
+        for j in range(24):
+            run = np.empty(n, int)
+            run[np.argsort(values[:, j])] = np.searchsorted(np.arange(9) * n // 8, np.arange(n), "right") - 1
+            left, right = (np.searchsorted(index.cuts[j], centres[q, j] + x) for x in (-w, w))
+            right = 8 if right == 7 else max(right, left + 1)
+            count += (run >= left) & (run < right)
+        assert (np.unpackbits(passed[q].view(np.uint8), bitorder="little")[:n] == (count >= 12)).all()
+
+
+def test_few_vectors_are_verified_where_neighbours_stand_out():
+    """Of 200 groups of 40 about one point each, a query verifies a small part of the block and finds its group."""
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.standard_normal((200, 32)), 40, axis=0) + 0.1 * rng.standard_normal((8000, 32))
+    index = ann.Index(v, float(np.linalg.norm(v, axis=1).max()) * 1.0001)
+    found = index.search(v[::400])
+    assert np.mean([len(f) for f, _ in found]) < 0.02 * len(v)
+    hit = [len(set(np.argsort(-(v @ q))[:21]) & set(f)) / 21 for q, (f, _) in zip(v[::400], found)]
+    assert np.mean(hit) > 0.95
+
+
 def test_neighbours_recall_and_scores(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
@@ -214,7 +258,7 @@ def test_neighbours_of_a_table_that_repeats_its_rows(spark):
     rows += [(i, [1.0] * 8) for i in range(100, 130)] + [(100, [1.0] * 8)] * 40  # one id hides none of the same vector
     rows += [(7, (rng.standard_normal(8) / 9).tolist()) for _ in range(30)]  # an id with many vectors
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    listed = lambda d: sorted(map(tuple, ann.nearest(d, F.col("vec_id") == 0, verify=1.0).collect()))
+    listed = lambda d: sorted(map(tuple, ann.nearest(d, F.col("vec_id") == 0, threshold=0.01).collect()))
     once, twice = listed(e), listed(e.union(e).union(e))
     assert len(once) == 20 and len({r[2] for r in once}) == 20
     assert [r[1:3] for r in twice] == [r[1:3] for r in once]
