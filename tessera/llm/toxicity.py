@@ -46,10 +46,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Different uses of words that a task holds before it hands them on.
 FLUSH = 2_000_000
 START = np.uint64(0)
+#: A word is known by so many bits of its hash: of ten million words no two are expected to share them.
+WORD_BITS = 48
 
 
 def word_keys(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & np.uint64((1 << WORD_BITS) - 1)
 
 
 def join_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -107,7 +109,8 @@ class KneserNey:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, w, a, y): each word of a class with the word before, and a hash of the one before that; each once a task, about."""
+    """(k1, k2): each word w of a class y with the word u before, and 31 bits of a hash of the one before that, packed as
+    w (48 bits), u (48), hash (31), y (1) into two numbers; each once a task, about."""
     held, size = [], 0
 
     def rows():
@@ -115,10 +118,12 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         u, w, a, y = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        first = np.unique(join_keys(join_keys(join_keys(u, w), a), y.astype(np.uint64)), return_index=True)[1]
+        k1 = w << np.uint64(16) | u >> np.uint64(32)
+        k2 = u << np.uint64(32) | (a * MIX >> np.uint64(33)) << np.uint64(1) | y.astype(np.uint64)
+        first = np.unique(join_keys(k1, k2), return_index=True)[1]
         for i in range(0, len(first), 1 << 16):
             at = first[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(u[at].astype(np.int64)), pa.array(w[at].astype(np.int64)), pa.array(a[at].astype(np.int64)), pa.array(y[at])], ["u", "w", "a", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[at].astype(np.int64)), pa.array(k2[at].astype(np.int64))], ["k1", "k2"])
 
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -140,10 +145,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     if found > max_rows:  # the documented bound: an even share of all labelled rows, by a hash of the id
         rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * max_rows / found))
     counted, tuned = rows.where("h % 5 <> 0"), rows.where("h % 5 = 0")
-    both = lambda x, n0="n0", n1="n1": [F.sum(F.when(F.col("y") == c, x).otherwise(0)).cast("double").alias(n) for c, n in ((0, n0), (1, n1))]
-    # all places of a pair are dealt to one task, so its places are told apart and counted there
-    places = counted.select("y", "t").mapInArrow(_places, "u long, w long, a long, y byte").repartition("u", "w").dropDuplicates(["u", "w", "a", "y"])
-    pairs = materialize(places.groupBy("u", "w").agg(*both(F.lit(1))), "toxic-pairs")
+    # all places of a pair are dealt to one task, by the word and 16 bits of the word before, and are told apart and counted there
+    places = counted.select("y", "t").mapInArrow(_places, "k1 long, k2 long").repartition("k1").dropDuplicates(["k1", "k2"])
+    toxic = F.col("k2").bitwiseAND(F.lit(1))
+    pairs = places.groupBy("k1", F.shiftrightunsigned("k2", 32).alias("low")).agg(F.sum(1 - toxic).cast("double").alias("n0"), F.sum(toxic).cast("double").alias("n1"))
+    u = F.shiftleft(F.col("k1").bitwiseAND(F.lit(0xFFFF)), 32).bitwiseOR(F.col("low"))
+    pairs = materialize(pairs.select(u.alias("u"), F.shiftrightunsigned("k1", 16).alias("w"), "n0", "n1"), "toxic-pairs")
     one = lambda c: F.sum((F.col(c) > 0).cast("double")).alias(c)
     words = materialize(pairs.groupBy("w").agg(one("n0"), one("n1"), F.count("*").cast("double").alias("n")), "toxic-words")
     lost = lambda c: F.sum(F.least(F.col(c), F.lit(float(discount))))
