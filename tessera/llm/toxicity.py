@@ -120,7 +120,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         k1 = w << np.uint64(16) | u >> np.uint64(32)
         k2 = u << np.uint64(32) | (a * MIX >> np.uint64(33)) << np.uint64(1) | y.astype(np.uint64)
-        first = np.unique(join_keys(k1, k2), return_index=True)[1]
+        order = np.lexsort((k2, k1))  # in order of the word, so that what is shuffled has like bytes together
+        k1, k2 = k1[order], k2[order]
+        first = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(k1) else np.empty(0, np.int64)
         for i in range(0, len(first), 1 << 16):
             at = first[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(k1[at].astype(np.int64)), pa.array(k2[at].astype(np.int64))], ["k1", "k2"])
@@ -150,7 +152,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
     toxic = F.col("k2").bitwiseAND(F.lit(1))
     pairs = places.groupBy("k1", F.shiftrightunsigned("k2", 32).alias("low")).agg(F.sum(1 - toxic).cast("double").alias("n0"), F.sum(toxic).cast("double").alias("n1"))
     u = F.shiftleft(F.col("k1").bitwiseAND(F.lit(0xFFFF)), 32).bitwiseOR(F.col("low"))
-    pairs = materialize(pairs.select(u.alias("u"), F.shiftrightunsigned("k1", 16).alias("w"), "n0", "n1"), "toxic-pairs")
+    pairs = materialize(pairs.select(u.alias("u"), F.shiftrightunsigned("k1", 16).alias("w"), "n0", "n1").sortWithinPartitions("w", "u"), "toxic-pairs")
     one = lambda c: F.sum((F.col(c) > 0).cast("double")).alias(c)
     words = materialize(pairs.groupBy("w").agg(one("n0"), one("n1"), F.count("*").cast("double").alias("n")), "toxic-words")
     lost = lambda c: F.sum(F.least(F.col(c), F.lit(float(discount))))
