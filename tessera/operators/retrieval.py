@@ -155,6 +155,12 @@ def top_by_slug(hits: DataFrame, each: int, most: int) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).drop("_r").orderBy(F.desc("relevance"), F.asc_nulls_last("distance"), "id").limit(most)
 
 
+def display_order(hits: DataFrame, path: str = "path") -> DataFrame:
+    """Hits as a reader is shown them: files outside folders `test` and `docs` first, then by path and line."""
+    aside = F.arrays_overlap(F.split(path, "/"), F.array(F.lit("test"), F.lit("docs")))
+    return hits.orderBy(aside, path, "start_line")
+
+
 def merged_vectors(parts: DataFrame) -> DataFrame:
     """(id, embedding) of vectors of a text's parts (id, embedding, length), averaged by length (1 at least)."""
     w = F.greatest(F.col("length"), F.lit(1)).cast("double")

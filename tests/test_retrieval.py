@@ -58,6 +58,11 @@ def test_sparse_hits_survive_the_cut(spark):
     assert [r["id"] for r in R.candidates(near, found, 1).orderBy("ordinal").collect()] == ["v", "t", "s"]
 
 
+def test_display_order(spark):
+    h = spark.createDataFrame([("docs/a.md", 1), ("src/b.py", 9), ("src/b.py", 2), ("a/test/x.py", 1), ("tests/y.py", 1)], "path string, start_line int")
+    assert [tuple(r) for r in R.display_order(h).collect()] == [("src/b.py", 2), ("src/b.py", 9), ("tests/y.py", 1), ("a/test/x.py", 1), ("docs/a.md", 1)]
+
+
 def test_dominant(spark):
     h = spark.createDataFrame([(i, c) for i, c in enumerate([[1], [1], [2], [1, 2], [3], [9]])], "ordinal int, community_ids array<int>")
     assert [r[0] for r in R.dominant(h).collect()] == [1]
