@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,11 +44,55 @@ def postings(docs: DataFrame, key: str, text: str) -> Postings:
     words = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
     post = cut(words.select("id", "len", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
     totals = cut(docs.agg(F.count("*").alias("n")).join(post.agg(F.sum("tf").alias("all"))).select("n", F.try_divide(F.col("all"), F.col("n")).alias("mean")))
-    raw = cut(post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    return weighed_terms(post, post.groupBy("term").agg(F.count("*").alias("df")), totals)
+
+
+def weighed_terms(post: DataFrame, counts: DataFrame, totals: DataFrame) -> Postings:
+    raw = cut(counts.join(F.broadcast(totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     floor = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
     return Postings(post, raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")), totals)
 
 
+def asked_postings(docs: DataFrame, key: str, text: str, query: str) -> Postings:
+    """As `postings`, for one query: each text is read once and the postings are those of the query's terms; only numbers by term are
+    shuffled. Totals and idf are of all terms. Where keys repeat it is `postings`."""
+    if docs.groupBy(key).count().where("count > 1").limit(1).count():
+        return postings(docs, key, text)
+    asked = set(re.findall(r"[a-z0-9_]+", query.lower()))
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total, id_type = Counter(), 0, 0, None
+
+        def rows(kind: int, ids: list | None, terms: list, ns: list[int], lens: list[int]) -> pa.RecordBatch:
+            id_column = pa.nulls(len(ns), id_type) if ids is None else pa.array(ids, id_type)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), id_column, pa.array(terms, pa.string()), pa.array(ns, pa.int64()), pa.array(lens, pa.int64())], ["kind", "id", "term", "n", "len"])
+
+        for b in batches:
+            id_type = b.schema.field(0).type
+            found = ([], [], [], [])
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = re.findall(r"[a-z0-9_]+", (x or "").lower())
+                tf = Counter(words)
+                df.update(tf.keys())
+                n, total = n + 1, total + len(words)
+                for w in asked & tf.keys():
+                    for column, value in zip(found, (i, w, tf[w], len(words))):
+                        column.append(value)
+            yield rows(2, *found)
+            if len(df) > 1_000_000:
+                yield rows(1, None, list(df), list(df.values()), [0] * len(df))
+                df.clear()
+        if n:
+            yield rows(1, None, list(df), list(df.values()), [0] * len(df))
+            yield rows(0, None, [None], [n], [total])
+
+    told = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"kind int, id {kind.simpleString()}, term string, n long, len long"))
+    totals = cut(told.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("len").alias("all")).select("n", F.try_divide(F.col("all"), F.col("n")).alias("mean")))
+    post = told.where("kind = 2").select("id", "term", F.col("n").alias("tf"), F.col("len").cast("int").alias("len"))
+    return weighed_terms(post, told.where("kind = 1").groupBy("term").agg(F.sum("n").alias("df")), totals)
+
+
 def bm25(index: Postings, query: str, k: int | None = None) -> DataFrame:
     """(id, score) of documents with a positive score, best first; a term that the query repeats counts as often. Only the
     postings of the query's terms are read."""
@@ -180,7 +226,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
 
     near = cut(ranked(dense(vectors, query_vector, top_k, key="id"), "distance", "id"))
     places = chunks.select("id", "path", "start_line", "end_line")
-    found = cut(ranked(bm25(index or postings(chunks, "id", "content"), query, 5 * top_k).join(places.select("id", "path"), "id"), F.desc("score"), "id"))
+    found = cut(ranked(bm25(index or asked_postings(chunks, "id", "content", query), query, 5 * top_k).join(places.select("id", "path"), "id"), F.desc("score"), "id"))
     if not found.limit(1).count():
         chosen = near.select("id", (F.col("rank") + 1).alias("ordinal"))
     else:

@@ -30,7 +30,8 @@ def probe(t: Tables) -> DataFrame:
 
 
 def sparse(t: Tables, k: int | None = None) -> DataFrame:
-    return retrieval.bm25(retrieval.postings(t.files, "path", "text"), question(t), k)
+    q = question(t)
+    return retrieval.bm25(retrieval.asked_postings(t.files, "path", "text", q), q, k)
 
 
 @query(BM25 + " SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 20")

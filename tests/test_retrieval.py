@@ -34,6 +34,17 @@ def test_bm25_against_a_plain_one(spark):
         assert {r["id"]: pytest.approx(r["score"]) for r in R.bm25(index, q).collect()} == plain_bm25(docs, q)
 
 
+def test_postings_of_a_query_are_of_its_terms_and_weigh_as_those_of_all(spark):
+    docs = {"a": "red fox red", "b": "blue fox", "c": "green tree and fox", "d": "red", "e": "", "f": None}
+    d = spark.createDataFrame(list(docs.items()), "id string, text string")
+    for q in ("red fox", "red red", "nothing", "tree"):
+        index = R.asked_postings(d, "id", "text", q)
+        assert {r["term"] for r in index.postings.collect()} <= set(q.split())
+        assert {r["id"]: pytest.approx(r["score"]) for r in R.bm25(index, q).collect()} == plain_bm25({k: t or "" for k, t in docs.items()}, q)
+    twice = R.asked_postings(d.union(d), "id", "text", "red")
+    assert twice.postings.where("id = 'a' AND term = 'red'").first()["tf"] == 4
+
+
 def hits(spark, rows):
     return spark.createDataFrame([(0, "f", i, a, b, r) for i, (a, b, r) in enumerate(rows)], "query_id int, file string, ordinal int, start_line int, end_line int, relevance double")
 
